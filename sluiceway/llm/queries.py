@@ -12,6 +12,30 @@ from .runtime import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _fold(parts: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    model = fit(docs.filter(_fold(4) != 2), "doc_id", "text", "lang")
+    found = identify(docs, model, "doc_id", "text", held_out.alias("held_out"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(_fold(5) == 0, F.lit(False))
+    model = fit(docs, labels.filter(_fold(5) != 0))
+    found = score(docs, model, "doc_id", "text", held_out.alias("held_out"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -33,6 +57,8 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op6_exact_dedup": op6_exact_dedup,
     "op10_bpe": op10_bpe,
 }
