@@ -65,6 +65,17 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import fit, scan
+
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, fit(docs))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"] != "crf")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -89,6 +100,7 @@ QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op4_chat": op4_chat,
+    "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_decontamination": op9_decontamination,
