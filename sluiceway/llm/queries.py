@@ -53,6 +53,12 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pseudonyms import pseudonymise
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op4_chat": op4_chat,
     "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_pseudonyms": op8_pseudonyms,
     "op9_decontamination": op9_decontamination,
     "op10_bpe": op10_bpe,
