@@ -36,6 +36,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import passages
+
+    return passages(table(spark, sf_dir, "documents"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import format_conversations, read_loss, read_turns
 
@@ -105,6 +111,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_substrings": op3_substrings,
     "op4_chat": op4_chat,
     "op5_secrets": op5_secrets,
     "op6_exact_dedup": op6_exact_dedup,
