@@ -1,10 +1,12 @@
 """N-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
 Equal shingle sets collapse into classes.  Two sets that link must share one of the
-rarest shingles of each, so only documents that share such a shingle meet in a tile; a
-large tile is cut into bands of set size and blocks, of which pairs meet.  In a tile,
-bit counts of hashed bitmaps bound the overlap from above, and sorted arrays are
-intersected exactly only for pairs that pass and are not connected yet.
+rarest shingles of each, so only documents that share such a shingle meet.  Where a
+shingle has few documents, each pair of them of similar size is looked at once, however
+many shingles it shares.  Documents that meet on frequent shingles form pools, which are
+tiled by bands of set size and, within large bands, by blocks of which pairs meet.  Bit
+counts of hashed bitmaps bound the overlap from above, and sorted arrays are intersected
+exactly only for pairs that pass and, in a tile, are not connected yet.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from .runtime import Scratch, ship
 
 #: Buckets in which shingles are counted to order them by rarity, and the parts that the counts travel in.
 BUCKETS, PARTS = 1 << 21, 64
-#: Documents in a tile before it is cut into bands and blocks.
-BLOCK = 256
+#: Documents of a shingle up to which their pairs are looked at directly, and documents in a tile's block.
+FEW, BLOCK = 24, 256
 #: Ids and shingles up to these counts are broadcast; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_KEYS = 200_000, 500_000
 
@@ -90,7 +92,8 @@ def _prefixes(shared, k: int, percent: int):
                 taken = np.arange(len(h)) - first < np.repeat(want, n)
                 ends = np.concatenate([[0], np.cumsum(want)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(h[taken].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), pa.array(n, pa.int64()), lists], ["doc_id", "n", "h"])
+                bits = pa.array([_bitmap(x, _width(len(x))).tobytes() for x in np.split(h, bounds[1:-1])], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), pa.array(n, pa.int64()), lists, bits], ["doc_id", "n", "h", "bits"])
 
     return run
 
@@ -105,13 +108,53 @@ def _whole_sets(k: int):
     return run
 
 
-def _bitmaps(sets: list[np.ndarray], most: int) -> np.ndarray:
-    """One row of 64-bit words a set; a member sets the bit that its hash names."""
-    width = 1 << min(16, max(8, math.ceil(math.log2(4 * most + 1))))
-    flags = np.zeros((len(sets), width), bool)
-    for i, x in enumerate(sets):
-        flags[i, (x & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(flags, axis=1).view(np.uint64)
+def _width(n: int) -> int:
+    """Bits of a set's bitmap: a power of two, 16 times a small set's size or more, 4 times a large one's."""
+    return 1 << max(8, math.ceil(math.log2((16 if n < 512 else 4) * max(n, 1))))
+
+
+def _bitmap(x: np.ndarray, width: int) -> np.ndarray:
+    """64-bit words in which a member sets the bit that the low bits of its hash name."""
+    flags = np.zeros(width, bool)
+    flags[(x & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def _bounded(percent: int):
+    """Rows ``a, b, n_a, n_b, bits_a, bits_b`` to the pairs whose bitmaps allow the overlap that they need."""
+
+    def passes(na: int, nb: int, x: bytes, y: bytes) -> bool:
+        u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        while len(u) > len(v):  # the low bits name the place, so halves fold onto each other
+            u = u[: len(u) // 2] | u[len(u) // 2 :]
+        while len(v) > len(u):
+            v = v[: len(v) // 2] | v[len(v) // 2 :]
+        most = min(na - int(np.bitwise_count(u & ~v).sum()), nb - int(np.bitwise_count(v & ~u).sum()))
+        return (100 + percent) * most >= percent * (na + nb)
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            kept = [(a, b) for a, b, na, nb, x, y in rows if passes(na, nb, x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _exact(percent: int):
+    """Rows ``a, b, members_a, members_b`` to the pairs that link."""
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                if 100 * both >= percent * (len(u) + len(v) - both) > 0:
+                    kept.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return run
 
 
 def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple]:
@@ -122,7 +165,8 @@ def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int
     order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
     ids, blocks, sets = [ids[i] for i in order], np.array([blocks[i] for i in order]), [sets[i] for i in order]
     size = np.array([len(x) for x in sets])
-    bits = _bitmaps(sets, int(size[-1]))
+    width = _width(int(size[-1]))
+    bits = np.array([_bitmap(x, width) for x in sets])
     root = np.arange(len(ids))
     links = []
     for i in range(len(ids) - 1):
@@ -155,7 +199,7 @@ def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int
 
 
 def _tiles(percent: int):
-    """Rows ``h, t, i, j, block, doc_id, members``, those of a tile together, to links."""
+    """Rows ``pool, t, i, j, block, doc_id, members``, those of a tile together, to links."""
 
     def run(batches):
         key, held = None, []
@@ -219,26 +263,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = rows.filter("doc_id is not null and text is not null")
     if n_copies <= BROADCAST_IDS:
         first = first.join(F.broadcast(copies), "doc_id", "left_anti")
-    entries = first.mapInArrow(_prefixes(shared, k, percent), "doc_id long, n long, h array<long>")
+    entries = first.mapInArrow(_prefixes(shared, k, percent), "doc_id long, n long, h array<long>, bits binary")
     if n_copies > BROADCAST_IDS:
         entries = entries.join(copies, "doc_id", "left_anti")
-    entries = scratch.keep(entries, "prefixes").select("doc_id", "n", F.explode("h").alias("h"))
+    prefixes = scratch.keep(entries, "prefixes")
+    entries = prefixes.select("doc_id", "n", F.explode("h").alias("h"))
     keys = scratch.keep(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "keys")
-    met = entries.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "h")
-    met = scratch.keep(met, "met")
-
-    ids = scratch.keep(met.select("doc_id").distinct(), "ids")
-    members = _semi(rows, ids, ids.count()).mapInArrow(_whole_sets(k), "doc_id long, members binary")
-    members = scratch.keep(members, "members")
+    met = scratch.keep(entries.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "h"), "met")
+
+    # shingles of few documents: distinct pairs of similar size, bounded by their bitmaps
+    few = met.filter(F.col("m") <= FEW).select("h", "doc_id", "n")
+    left, right = (few.select("h", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = left.join(right, "h").filter(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").drop("h").distinct()
+    bits = prefixes.select("doc_id", "bits")
+    pairs = scratch.keep(pairs, "pairs").join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
+    likely = pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long")
+    likely = scratch.keep(likely, "likely")
+
+    # shingles of many: pools of documents that meet on them
+    many = met.filter(F.col("m") > FEW)
+    hub = many.groupBy("h").agg(F.min("doc_id").alias("b"))
+    pool = components(many.join(hub, "h").select(F.col("doc_id").alias("a"), "b").distinct(), scratch)
+    pool = many.select("doc_id", "n").distinct().join(pool, F.col("doc_id") == F.col("u"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("pool"))
     band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    cut = F.ceil(F.col("m") / BLOCK).cast("int")
-    placed = met.withColumns({"band": band, "cut": cut}).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int"))
-    small = placed.filter("cut = 1").select("h", F.lit(-1).alias("t"), F.lit(0).alias("i"), F.lit(0).alias("j"), "block", "doc_id")
-    large = placed.filter("cut > 1").withColumn("t", F.explode(F.array(F.col("band"), F.col("band") + 1))).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    large = large.select("h", "t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id")
-    tiles = small.unionByName(large).join(members, "doc_id").select("h", "t", "i", "j", "block", "doc_id", "members")
-    tiles = tiles.repartition("h", "t", "i", "j").sortWithinPartitions("h", "t", "i", "j")
-    links = tiles.mapInArrow(_tiles(percent), "a long, b long")
+    placed = scratch.keep(pool.withColumn("t", F.explode(F.array(band, band + 1))), "pools")
+    cut = placed.groupBy("pool", "t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
+    tiles = placed.join(cut, ["pool", "t"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int"))
+    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    tiles = tiles.select("pool", "t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id")
+
+    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(placed.select("doc_id")).distinct()
+    ids = scratch.keep(ids, "ids")
+    members = scratch.keep(_semi(rows, ids, ids.count()).mapInArrow(_whole_sets(k), "doc_id long, members binary"), "members")
+    found = likely.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long")
+    tiles = tiles.join(members, "doc_id").select("pool", "t", "i", "j", "block", "doc_id", "members")
+    tiles = tiles.repartition("pool", "t", "i", "j").sortWithinPartitions("pool", "t", "i", "j")
+    links = found.unionByName(tiles.mapInArrow(_tiles(percent), "a long, b long"))
     joined = components(links, scratch)
 
     merged = classes.join(joined, classes["rep"] == joined["u"], "left").select("k1", "k2", "size", F.col("rep"), "component").filter("size > 1 or component is not null")
