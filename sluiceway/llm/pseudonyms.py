@@ -81,7 +81,6 @@ def _remainder97(account: Column) -> Column:
 
 def _date(value: Column) -> tuple[Column, Column]:
     """The day that a date names (null if none) and its format: 1 year first, 2 day first with dots, 3 month first, 4 day first with slashes."""
-    iso = F.try_to_date(value, "yyyy-MM-dd") if hasattr(F, "try_to_date") else F.expr("null")
     iso = F.when(value.rlike("^[0-9]{4}-"), F.try_to_timestamp(value, F.lit("yyyy-MM-dd")).cast("date"))
     dots = F.when(value.contains("."), F.try_to_timestamp(value, F.lit("dd.MM.yyyy")).cast("date"))
     month = F.when(value.contains("/"), F.try_to_timestamp(value, F.lit("MM/dd/yyyy")).cast("date"))
