@@ -95,7 +95,7 @@ def unpack_be(field: str, raw: Column) -> Column:
     value = _unsigned(raw)
     if field.startswith("Word"):
         return value.cast(TYPES[field])
-    half, full = F.lit(1 << (bits - 1)).cast("decimal(20,0)"), F.lit(1 << bits).cast("decimal(20,0)")
+    half, full = _wide(1 << (bits - 1)), _wide(1 << bits)
     return F.when(value >= half, value - full).otherwise(value).cast(TYPES[field])
 
 
@@ -103,10 +103,15 @@ def pack_be(field: str, value: Column) -> Column:
     """The big-endian bytes of an integer."""
     bits = 8 * WIDTHS[field]
     wide = value.cast("decimal(20,0)")
-    wide = F.when(wide < 0, wide + F.lit(1 << bits).cast("decimal(20,0)")).otherwise(wide)
+    wide = F.when(wide < 0, wide + _wide(1 << bits)).otherwise(wide)
     return F.unhex(F.lpad(F.conv(wide.cast("string"), 10, 16), bits // 4, "0"))
 
 
+def _wide(n: int) -> Column:
+    """A literal that may need more than 63 bits."""
+    return F.lit(str(n)).cast("decimal(20,0)")
+
+
 def _unsigned(raw: Column) -> Column:
     return F.conv(F.hex(raw), 16, 10).cast("decimal(20,0)")
 
@@ -114,7 +119,7 @@ def _unsigned(raw: Column) -> Column:
 def _float_of_bits(n: Column, bits: int) -> Column:
     """A binary floating-point number from its bits: sign, exponent, fraction."""
     e_bits, f_bits = (8, 23) if bits == 32 else (11, 52)
-    dec = lambda k: F.lit(k).cast("decimal(20,0)")
+    dec = _wide
     sign = F.when(n >= dec(1 << (bits - 1)), -1.0).otherwise(1.0)
     rest = F.pmod(n, dec(1 << (bits - 1)))
     e = F.floor(rest / dec(1 << f_bits)).cast("int")

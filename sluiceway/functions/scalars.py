@@ -61,7 +61,7 @@ def diff_days(a: Column, b: Column) -> Column:
 
 def pack_date(y: Column, m: Column, d: Column) -> Column:
     """A date, or null if there is no such day."""
-    return F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date") if hasattr(F, "try_make_timestamp") else F.expr("null")
+    return F.try_make_timestamp(y, m, d, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
 
 def packed_date32(d: Column) -> Column:

@@ -84,9 +84,9 @@ def folds(segments: Flow, values: Flow, name: str, length: str, **aggregates: tu
     seg = segments.indexed() if segments.order != (POS,) else segments
     val = values.indexed() if values.order != (POS,) else values
     keys = seg.keys
+    size = F.col(length).cast("long")
     upto = seg.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = seg.df.select(*keys, F.col(POS).alias("__seg"), F.col(name), F.col(length).cast("long").alias("__len"), F.sum(F.col(length).cast("long")).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("__end"))
-    del upto
+    s = seg.df.select(*keys, F.col(POS).alias("__seg"), name, size.alias("__len"), F.sum(size).over(upto).alias("__end"))
     places = s.filter("__len > 0").select(*keys, "__seg", F.explode(F.sequence(F.col("__end") - F.col("__len"), F.col("__end") - 1)).alias(POS))
     v = val.df.withColumnRenamed(val.bucket, keys[0]) if val.bucket and keys and val.bucket != keys[0] else val.df
     got = places.join(v, [*keys, POS]).groupBy(*keys, "__seg").agg(F.count(F.lit(1)).alias("__got"), *(a.alias(n) for n, (a, _) in aggregates.items()))
@@ -97,7 +97,6 @@ def folds(segments: Flow, values: Flow, name: str, length: str, **aggregates: tu
 def replicates(flow: Flow, count: str) -> Flow:
     """Each element as often as ``count`` says."""
     n = F.greatest(F.col(count), F.lit(0)).cast("int")
-    out = flow.df.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), n))).drop("__copy")
     at = F.posexplode(F.array_repeat(F.lit(0), n)).alias("_copy", "__z")
     out = flow.df.select("*", at).drop("__z")
     return replace(flow, df=out, order=(*flow.order, "_copy"))
@@ -123,11 +122,9 @@ def segment(flow: Flow, starts: Column, ends: Column, value: str) -> Flow:
     """Segments from an element where ``starts`` holds to the next where ``ends`` holds, both inclusive."""
     w = flow.window()
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = flow.df.withColumns({"__e": F.coalesce(F.sum(ends.cast("long")).over(before), F.lit(0)), "__s": starts})
     inner = Window.partitionBy(*flow.keys, "__e").orderBy(*flow.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("__open", F.max(F.col("__s").cast("int")).over(inner)).filter("__open = 1")
-    del upto
     got = rows.groupBy(*flow.keys, "__e").agg(F.sort_array(F.collect_list(F.struct(*flow.order, F.col(value).alias("__v")))).alias("__a"))
     return Flow(got.select(*flow.keys, F.col("__e").alias(POS), F.transform("__a", lambda x: x["__v"]).alias(value)), flow.bucket)
 

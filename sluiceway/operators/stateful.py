@@ -125,9 +125,8 @@ def decimate(flow: Flow, drop: Callable[[Column, Column], Column], column: str)
     """Drop the second of each adjacent pair of the source for which ``drop(before, element)`` holds."""
     before = F.lag(column).over(flow.window())
     first = F.row_number().over(flow.window()) == 1
-    kept = first | ~F.coalesce(drop(F.col("__before"), F.col(column)), F.lit(False))
-    out = flow.df.withColumns({"__before": before, "__first": first}).filter(F.col("__first") | ~F.coalesce(drop(F.col("__before"), F.col(column)), F.lit(False)))
-    del kept
+    kept = F.col("__first") | ~F.coalesce(drop(F.col("__before"), F.col(column)), F.lit(False))
+    out = flow.df.withColumns({"__before": before, "__first": first}).filter(kept)
     return replace(flow, df=out.drop("__before", "__first"))
 
 

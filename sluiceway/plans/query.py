@@ -51,9 +51,15 @@ def evaluate(exp: dict, env: tuple = ()):
 
 
 def _curried(f, n: int) -> Callable:
+    """A function of n columns from one that takes them one by one."""
+    if n == 1:
+        return lambda a: f(a)
+    if n == 2:
+        return lambda a, b: f(a)(b)
+
     def call(*xs):
         out = f
-        for x in xs[:n]:
+        for x in xs:
             out = out(x)
         return out
 
