@@ -266,3 +266,32 @@ def folds(lengths, values, start: Column, step: Fn2) -> Column:
     ends = F.transform(lengths, lambda n, i: F.aggregate(F.slice(lengths, F.lit(1), i + 1), F.lit(0).cast("long"), lambda s, x: s + x))
     whole = F.filter(F.zip_with(lengths, ends, lambda n, e: F.struct(n.alias("n"), e.alias("e"))), lambda z: z["e"] <= F.size(values))
     return F.transform(whole, lambda z: F.aggregate(F.slice(values, (z["e"] - z["n"] + 1).cast("int"), z["n"].cast("int")), start, step))
+
+
+def folds_with(first_length: Column, first_acc: Column, lengths, values, start: Column, step: Fn2) -> Column:
+    """As ``folds``, after a segment that is already under way: what it lacks, and its accumulator."""
+    values = _c(values)
+    rest = F.when(F.size(values) > first_length, F.slice(values, (first_length + 1).cast("int"), F.size(values))).otherwise(F.slice(values, F.lit(1), F.lit(0)))
+    head = F.aggregate(F.slice(values, F.lit(1), first_length.cast("int")), first_acc, step)
+    return F.when(F.size(values) < first_length, F.slice(F.array(head), F.lit(1), F.lit(0))).otherwise(F.concat(F.array(head), folds(lengths, rest, start, step)))
+
+
+def groups_with(open_value: Column, open_length: Column, a) -> Column:
+    """As ``groups``, after a run that is already under way."""
+    a = _c(a)
+    g = groups(a)
+    own = F.struct(open_value.alias("x"), open_length.cast("long").alias("n"))
+    joined = F.struct(open_value.alias("x"), (open_length.cast("long") + F.get(g, F.lit(0))["n"]).alias("n"))
+    same = F.get(a, F.lit(0)).eqNullSafe(open_value) & (F.size(a) > 0)
+    return F.when(same, F.concat(F.array(joined), F.slice(g, F.lit(2), F.greatest(F.size(g) - 1, F.lit(0))))).otherwise(F.concat(F.array(own), g))
+
+
+def windowed(a, start, n) -> Column:
+    """The view ``[start, start+n)``, cut at the ends."""
+    return F.slice(_c(a), (_c(start) + 1).cast("int"), _c(n).cast("int"))
+
+
+def extract(a, ranges) -> Column:
+    """All elements of the ranges ``struct<start, len>``, one range after another."""
+    a = _c(a)
+    return F.flatten(F.transform(_c(ranges), lambda r: F.slice(a, (r["start"] + 1).cast("int"), r["len"].cast("int"))))

@@ -187,6 +187,31 @@ class NdArray:
         whole = (F.col("i0") + lo[0] >= 0) & (F.col("i0") + hi[0] < h) & (F.col("i1") + lo[1] >= 0) & (F.col("i1") + hi[1] < w)
         return NdArray(sums.withColumn("v", F.when(whole, F.col("v")).otherwise(F.lit(value))), self.shape)
 
+    def convolve(self, kernel: NdArray, boundary: str = "const", value: float = 0.0) -> NdArray:
+        """Convolution with a small matrix whose centre is its middle cell; the kernel is read to the driver."""
+        if kernel.shape[0] * kernel.shape[1] > 4096:
+            raise ValueError("a kernel has 4096 cells at most")
+        h, w = kernel.shape
+        weights = {(r["i0"] - h // 2, r["i1"] - w // 2): r["v"] for r in kernel.df.collect()}
+        return self.stencil(weights, boundary, value)
+
+    def traverse(self, shape: tuple[int, ...], reads: list[Callable[..., tuple[Column, ...]]], f: Callable[..., Column]) -> NdArray:
+        """Any element function of a fixed number of looked-up cells: ``f(indices.., cells..)``.
+
+        Each lookup names an input cell for an output index and is one join; a cell that is
+        not there is null.
+        """
+        names = [f"i{k}" for k in range(len(shape))]
+        out = NdArray.generate(self.df.sparkSession, shape, lambda *i: F.lit(0)).df.drop("v")
+        for n, read in enumerate(reads):
+            at = read(*(F.col(c) for c in names))
+            out = out.select("*", *(c.cast("long").alias(f"__s{k}") for k, c in enumerate(at)))
+            cells = self.df.select(*(F.col(c).alias(f"__s{k}") for k, c in enumerate(self.ix)), F.col("v").alias(f"__v{n}"))
+            keys = [f"__s{k}" for k in range(len(self.shape))]
+            out = out.join(cells, keys, "left").drop(*keys)
+        v = f(*(F.col(c) for c in names), *(F.col(f"__v{n}") for n in range(len(reads))))
+        return NdArray(out.select(*names, v.alias("v")), tuple(shape))
+
     # --- spectra ----------------------------------------------------------------------
     def dft(self, inverse: bool = False) -> DataFrame:
         """Discrete Fourier transform of the innermost dimension: rows ``(.., k, re, im)``.
@@ -232,6 +257,22 @@ def fft_rows(df: DataFrame, by: list[str], at: str, re: str, im: str, mode: str
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+def fft_grid(df: DataFrame, axes: list[str], re: str, im: str | None, mode: str = "forward") -> DataFrame:
+    """Fast transform of a grid along each of its axes in turn; every extent is a power of two."""
+    out = df.select(*axes, F.col(re).cast("double").alias("re"), (F.col(im).cast("double") if im else F.lit(0.0)).alias("im"))
+    for axis in reversed(axes):
+        out = fft_rows(out, [a for a in axes if a != axis], axis, "re", "im", mode)
+    return out
+
+
+def is_inside(shape: tuple[int, int], i: Column, j: Column) -> Column:
+    return i.between(0, shape[0] - 1) & j.between(0, shape[1] - 1)
+
+
+def clamp_to_border(shape: tuple[int, int], i: Column, j: Column) -> tuple[Column, Column]:
+    return F.greatest(F.lit(0), F.least(i, F.lit(shape[0] - 1))), F.greatest(F.lit(0), F.least(j, F.lit(shape[1] - 1)))
+
+
 def lehmer(spark: SparkSession, n: int, low: int, high: int, seed: int) -> DataFrame:
     """``i, v``: the multiplicative generator 16807 mod 2^31-1, reduced to [low, high].
 
