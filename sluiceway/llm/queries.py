@@ -147,4 +147,32 @@ ORACLE: dict[str, str] = {
                row_number() OVER w = 1 AS kept, h AS text_sha256
         FROM n WINDOW w AS (PARTITION BY h ORDER BY n DESC, doc_id)
     """,
+    "op7_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT doc_id, count(g) AS n FROM documents LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT doc_id, n AS n_shingles, (SELECT min(b) FROM r WHERE r.a = n.doc_id) AS component_id FROM n
+    """,
+    "op9_decontamination": r"""
+        WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+        d AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
+        i AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 8),
+        ds AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 5) OVER o AS x5, lead(x, 6) OVER o AS x6, lead(x, 7) OVER o AS x7
+               FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+        js AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 5) OVER o AS x5, lead(x, 6) OVER o AS x6, lead(x, 7) OVER o AS x7
+               FROM i WINDOW o AS (PARTITION BY item_id ORDER BY p)),
+        l AS (SELECT doc_id, item_id, ds.p - js.p AS line FROM ds JOIN js ON ds.x = js.x AND ds.x1 = js.x1 AND ds.x3 = js.x3 AND ds.x5 = js.x5 AND ds.x6 = js.x6
+              UNION SELECT doc_id, item_id, ds.p - js.p FROM ds JOIN js ON ds.x = js.x AND ds.x1 = js.x1 AND ds.x2 = js.x2 AND ds.x5 = js.x5 AND ds.x7 = js.x7),
+        m AS (SELECT l.doc_id, l.item_id, count(DISTINCT i.p) AS matched, max(n) AS item_words FROM l JOIN i ON i.item_id = l.item_id
+              JOIN d ON d.doc_id = l.doc_id AND d.p = l.line + i.p AND d.x = i.x GROUP BY ALL)
+        SELECT doc_id, item_id, matched, item_words, matched / item_words AS share FROM m WHERE matched / item_words >= 0.8
+    """,
 }
