@@ -20,7 +20,7 @@ from .runtime import ship
 #: Statistics of a text; shares are of its bytes, letters, words or word triples.
 STATS = ("words", "bytes", "word_bytes", "upper", "symbols", "digits", "wordless", "repeats", "variety", "line_words", "again", "runs")
 #: Labelled rows used for fitting (about).
-SAMPLE = 12000
+SAMPLE = 8000
 
 _UPPER, _ALPHA, _DIGIT, _SYMBOL, _WORDISH = (np.zeros(256, bool) for _ in range(5))
 _UPPER[65:91] = True
@@ -113,7 +113,7 @@ def _holds(x: np.ndarray, rule: Rule) -> np.ndarray:
     return ok
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, penalty: float = 2e-4, rounds: int = 400, seed: int = 7) -> tuple[float, list[tuple[float, Rule]]]:
+def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, penalty: float = 1e-3, rounds: int = 250, seed: int = 7) -> tuple[float, list[tuple[float, Rule]]]:
     """Bias and weighted rules of a lasso logistic regression on tree paths."""
     mean = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     bias = math.log(mean / (1 - mean))
@@ -142,23 +142,24 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, pen
     keep = spread > 0.02
     rules, a, spread = [r for r, k in zip(rules, keep, strict=True) if k], a[:, keep], spread[keep]
     center = a.mean(0)
-    a = (a - center) / spread
-    n = len(y)
+    a -= center
+    a /= spread
+    n, y = len(y), y.astype(np.float32)
     power = np.ones(a.shape[1], np.float32)
     for _ in range(30):
         power = a.T @ (a @ power)
         power /= np.linalg.norm(power) or 1
     step = 1 / (0.25 * max(float(power @ (a.T @ (a @ power))) / n, 1e-6) + 0.25)
-    w = z = np.zeros(a.shape[1])
+    w = z = np.zeros(a.shape[1], np.float32)
     b = bz = bias
     t = 1.0
     for _ in range(rounds):  # accelerated proximal gradient
-        r = 1 / (1 + np.exp(-(a @ z + bz))) - y
-        w2 = z - step * (a.T @ r) / n
-        w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * penalty, 0)
-        b2 = bz - step * r.mean()
+        r = 1 / (1 + np.exp(-(a @ z + np.float32(bz)))) - y
+        w2 = z - np.float32(step / n) * (a.T @ r)
+        w2 = np.sign(w2) * np.maximum(np.abs(w2) - np.float32(step * penalty), 0)
+        b2 = bz - step * float(r.mean())
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
-        z, bz = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
+        z, bz = w2 + np.float32((t - 1) / t2) * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
     real = w / spread
     return float(b - (real * center).sum()), [(float(v), r) for v, r in zip(real, rules, strict=True) if abs(v) > 1e-6]
