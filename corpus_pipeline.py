@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sluiceway.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from sluiceway.llm.queries import tokenizer_path
@@ -15,10 +14,7 @@ LEAST_QUALITY = 0.3
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble does not reject; it learns from all labels of this corpus."""
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, model, "doc_id", "text", *(F.col(c).alias(f"__{c}") for c in docs.columns))
-    kept = scored.filter(F.col("score") >= LEAST_QUALITY)
-    return kept.select(*(F.col(f"__{c}").alias(c) for c in docs.columns))
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")), LEAST_QUALITY)
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

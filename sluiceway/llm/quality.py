@@ -61,19 +61,25 @@ def statistics(s) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *extra: Column) -> DataFrame:
     """``doc_id``, ``extra`` columns and STATS (as ``stat_<name>``), one row per input row; null text counts as empty."""
-    ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)
-    kept = [f for f in rows.schema.fields if f.name != "text"]
-    names = [*(f.name for f in kept), *(f"stat_{x}" for x in STATS)]
+    rows = docs.select(F.col(text_col).alias("__text"), F.col(id_col).alias("doc_id"), *extra)
+    return _add_statistics(rows, rows.columns[1:])
+
+
+def _add_statistics(rows: DataFrame, kept: list[str]) -> DataFrame:
+    """The ``kept`` columns of rows whose first column is the text, and STATS."""
+    ship(rows.sparkSession)
+    places = [rows.columns.index(c) for c in kept]
+    names = [*kept, *(f"stat_{x}" for x in STATS)]
 
     def run(batches):
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(0)):
                 found = statistics(s)
-                rest = [batch.column(i).slice(s.first, len(s)) for i in (0, *range(2, batch.num_columns))]
+                rest = [batch.column(i).slice(s.first, len(s)) for i in places]
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATS)))], names)
 
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"stat_{x} double" for x in STATS]))
+    fields = [rows.schema.fields[i] for i in places]
+    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"stat_{x} double" for x in STATS]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), all of which hold
@@ -206,3 +212,13 @@ def score(docs: DataFrame, model: tuple[float, list[tuple[float, Rule]]], id_col
     found = with_statistics(docs, id_col, text_col, *extra)
     kept = [c for c in found.columns if not c.startswith("stat_")]
     return found.select(*kept, compile_rules(*model).alias("score"))
+
+
+def keep_good(docs: DataFrame, model: tuple[float, list[tuple[float, Rule]]], least: float, text_col: str = "text") -> DataFrame:
+    """The rows that score ``least`` or more, with all their columns; the text passes through the statistics once."""
+    inner = [f"__{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index(text_col)
+    first = [at, *(i for i in range(len(inner)) if i != at)]
+    rows = docs.toDF(*inner).select(*(inner[i] for i in first))
+    found = _add_statistics(rows, rows.columns).filter(compile_rules(*model) >= least)
+    return found.select(*(F.col(n).alias(c) for n, c in zip(inner, docs.columns, strict=True)))
