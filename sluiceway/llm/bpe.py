@@ -265,7 +265,6 @@ def _blocks(column: pa.Array, most: int = BLOCK):
 def _load(spark, path: str):
     with open(path, "rb") as f:
         raw = f.read()
-    ByteBpe(raw)  # fails here, and not on the executors, if the file is unfit
     return spark.sparkContext.broadcast((hashlib.md5(raw).hexdigest(), raw))  # a vocabulary file, a few MB
 
 
