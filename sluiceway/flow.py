@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BUCKET, POS = "_bucket", "_pos"
+#: Rows of a key range (about) when positions of one long stream are made, and sampled keys for each range.
+RANGE_ROWS, SAMPLED = 100_000, 100
 
 
 @dataclass(frozen=True)
@@ -55,21 +57,45 @@ class Flow:
     def indexed(self, name: str = POS) -> Flow:
         """Dense positions from 0 in each stream.
 
-        With buckets it is one window by bucket.  A single stream is cut into key ranges,
-        whose sizes give each range its offset, so no task sorts everything.
+        With buckets it is one window by bucket.  A single stream is cut into key ranges at
+        bounds taken from a sample of its keys, and the sizes of the ranges give each its
+        offset, so no task sorts everything.  A range is a function of the key alone:
+        however often or however partitioned the plan runs, rows keep their range.
         """
         if self.bucket:
             out = self.df.withColumn(name, (F.row_number().over(self.window()) - 1).cast("long"))
             return replace(self, df=out, order=(name,))
-        cut = self.df.repartitionByRange(*self.order).withColumn("__part", F.spark_partition_id())
+        cut = self.df.withColumn("__part", self._range())
         inner = Window.partitionBy("__part").orderBy(*self.order)
-        cut = cut.withColumn("__row", F.row_number().over(inner))
         sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-        # one row a partition: the offsets are a running sum over a few thousand rows at most
+        # a row for each range: as many as there are shuffle partitions at most
         offsets = sizes.select("__part", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).alias("__off"))
-        out = cut.join(F.broadcast(offsets), "__part").withColumn(name, (F.col("__row") - 1 + F.col("__off")).cast("long"))
+        out = cut.withColumn("__row", F.row_number().over(inner)).join(F.broadcast(offsets), "__part")
+        out = out.withColumn(name, (F.col("__row") - 1 + F.col("__off")).cast("long"))
         return replace(self, df=out.drop("__part", "__row", "__off"), order=(name,))
 
+    def _range(self) -> Column:
+        """The number of the key range of a row: a balanced tree of comparisons with sampled bounds."""
+        rows = self.df.count()
+        n = min(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+        if n <= 1:
+            return F.lit(0)
+        keys = self.df.select(*self.order)
+        kinds = [f.dataType for f in keys.schema.fields]
+        # about SAMPLED rows for each range
+        found = sorted(tuple(r) for r in keys.dropna().sample(min(1.0, SAMPLED * n / rows), seed=1).collect())
+        bounds = sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
+        key = F.struct(*self.order)
+
+        def pick(low: int, high: int) -> Column:
+            if low == high:
+                return F.lit(low)
+            mid = (low + high) // 2
+            bound = F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(bounds[mid], kinds, self.order, strict=True)))
+            return F.when(key < bound, pick(low, mid)).otherwise(pick(mid + 1, high))
+
+        return pick(0, len(bounds))
+
     # --- elementwise --------------------------------------------------------------
     def map(self, **columns: Column) -> Flow:
         """New value columns; the old ones go, the order stays."""

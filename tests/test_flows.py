@@ -121,12 +121,18 @@ def test_head_prepend_zip_pack(spark):
     assert f.extend(y=F.col("x") * 2, z=F.lit(1)).mask(True, False, True).values == ["x", "z"]
 
 
-def test_indexed_single_stream_is_dense(spark):
-    values = random.Random(3).sample(range(10000), 500)
-    df = spark.createDataFrame([(v,) for v in values], "k int").repartition(7)
-    out = Flow(df, None, ("k",)).indexed().df.select("k", POS).collect()
-    assert [k for k, _ in sorted(out, key=lambda r: r[1])] == sorted(values)
-    assert sorted(p for _, p in out) == list(range(500))
+def test_indexed_single_stream_is_dense(spark, monkeypatch):
+    monkeypatch.setattr("sluiceway.flow.RANGE_ROWS", 60)
+    monkeypatch.setattr("sluiceway.flow.SAMPLED", 20)
+    rng = random.Random(3)
+    keys = [(7 if i < 200 else rng.randrange(50), i, f"v{i}") for i in range(500)] + [(None, i, "n") for i in range(20)]
+    df = spark.createDataFrame(keys, "a int, b int, v string").repartition(7)
+    f = Flow(df, None, ("a", "b"))
+    assert "CASE WHEN" in str(f._range())
+    out = f.extend(p=F.col("a"), q=F.col("b")).indexed().df.select("p", "q", "v", POS).collect()
+    got = [(p, q) for p, q, _, _ in sorted(out, key=lambda r: r[3])]
+    assert got == sorted(((a, b) for a, b, _ in keys), key=lambda k: (k[0] is not None, k[0] or 0, k[1]))
+    assert sorted(r[3] for r in out) == list(range(520))
 
 
 def test_array_functions(spark):
