@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .ndarray import NdArray
 
 
@@ -76,6 +77,7 @@ def convex_hull(points: DataFrame, by: str, x: str = "x", y: str = "y") -> DataF
         pdf = pdf.drop_duplicates([x, y])
         return pdf.iloc[_hull(pdf[x].to_numpy(float), pdf[y].to_numpy(float))][[by, x, y]]
 
+    ship(points.sparkSession)
     few = points.select(by, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).mapInPandas(local, schema)
     return few.groupBy(by).applyInPandas(final, schema)
 
