@@ -21,7 +21,9 @@ PATTERNS = {
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|(?<![0-9A-Za-z(])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|(?<![0-9A-Za-z.-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9])",
 }
-ANY = "|".join(PATTERNS.values())
+_DIGITS = "|".join(p for k, p in PATTERNS.items() if k not in ("mail", "account"))
+#: One look ahead spares letters the look-behinds of the patterns that begin with a digit, a plus or a bracket.
+ANY = "|".join([PATTERNS["mail"], PATTERNS["account"], f"(?=[0-9+(])(?:{_DIGITS})"])
 #: Days from 1900-01-01 that dates are permuted among: to 2099-12-31.
 DAYS, DAY_PARTS = 73049, (17, 4297)
 
