@@ -1,10 +1,10 @@
 """Fuzzy repeated passages by collinear chaining.
 
-Minimizers of k-word windows are seeds; each seed joins a document with the first document
-that holds it, so a passage shared by many documents costs one match a holder.  Matches
-of a pair of documents are chained in order, with gap costs, through a Fenwick tree of
-prefix maxima; chains are aligned word by word, and aligned stretches that touch are
-merged into the passages of a document that also stand elsewhere.
+Words under a spaced mask at every position are seeds, sent to buckets of equal hashes; each
+seed joins a document with the first document that holds it, so a passage shared by many
+documents costs one match a holder.  Matches of a pair of documents are chained in order, with
+gap costs, through a Fenwick tree of prefix maxima; chains are aligned word by word, and
+aligned stretches that touch are merged into the passages of a document that also stand elsewhere.
 """
 
 from __future__ import annotations
@@ -14,40 +14,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, shingles, slices, varlen
+from .kernel import Words, mix, slices, varlen
 from .runtime import Scratch, ship
 
-#: Words of a seed, and seeds among which the least is taken: any 17 equal words share one.
-K, WINDOW = 6, 12
+#: Positions of a seed that count (1) and that are ignored (0): every fifth word may differ anywhere.
+MASK = "1101011"
+#: Score of a match, and words on either side of a chain that are aligned first.
+K, PAD = 6, 62
+#: Buckets of seeds, bits of a hash that name them, and bytes of text whose seeds are packed together.
+BUCKET_BITS, PACK = 10, 1 << 22
 #: Words of the shortest passage, of the shortest stretch that may be part of one, and between stretches that touch.
-LEAST, PIECE, TOUCH = 50, K + WINDOW - 1, 2
+LEAST, PIECE, TOUCH = 50, 17, 2
 #: Cost of a word skipped on either side of a chain, and matching share of an aligned stretch.
 GAP, SHARE = 0.1, 0.8
-#: Ids and seeds up to these counts are broadcast; more are joined by a shuffle.
-BROADCAST_IDS, BROADCAST_KEYS = 200_000, 500_000
+#: Ids up to this count are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
+
+
+def _narrow(x: np.ndarray) -> tuple[int, bytes, int]:
+    """The least of some integers, their distances from it in the fewest bytes, and that width."""
+    low = int(x.min())
+    x = x - low
+    kind = np.min_scalar_type(int(x.max()))
+    return low, x.astype(kind).tobytes(), kind.itemsize
+
+
+def _wide(low: int, raw: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{width}").astype(np.int64) + low
 
 
 def _seeds(batches):
-    """Distinct minimizers of each text, each where it occurs first."""
+    """The seeds of each text at every position, packed by bucket: 48 bits of the hash, document and place."""
+    at = [i for i, c in enumerate(MASK) if c == "1"]
     for batch in batches:
-        for s in slices(batch.column(1)):
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for s in slices(batch.column(1), PACK):
             w = Words(s)
-            h, doc, first = shingles(w, w.hashes(), K, False)
-            if len(h) >= WINDOW:
-                view = np.lib.stride_tricks.sliding_window_view(h, WINDOW)
-                at = np.flatnonzero(doc[: len(view)] == doc[WINDOW - 1 :])
-                pick = np.unique(at + view[at].argmin(1))
-                h, doc, place = h[pick], doc[pick], first[pick] - w.bounds[doc[pick]]
-                order = np.lexsort((place, h, doc))
-                h, doc, place = h[order], doc[order], place[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc, place = h[new], doc[new], place[new]
-            else:
-                h, doc, place = h[:0], doc[:0], first[:0]
-            ends = pa.array(np.searchsorted(doc, np.arange(len(s) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(h.view(np.int64)), pa.array(place.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), *lists], ["doc_id", "h", "at"])
+            words, n = w.hashes(), len(w.doc) - len(MASK) + 1
+            if n <= 0:
+                continue
+            first = np.flatnonzero(w.doc[:n] == w.doc[len(MASK) - 1 :])
+            if not len(first):
+                continue
+            h = np.zeros(len(first), np.uint64)
+            for j in at:
+                h = h * np.uint64(0xD6E8FEB86659FD93) + words[first + j]
+            h = mix(h + np.uint64(len(MASK)))
+            bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+            order = np.argsort(bucket, kind="stable")
+            h, first, bucket = h[order], first[order], bucket[order]
+            doc, place = ids[s.first + w.doc[first]].astype(np.int64), first - w.bounds[w.doc[first]]
+            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+            begin, rows = 0, []
+            for end in ends.tolist():
+                raw = h[begin:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+                rows.append((int(bucket[begin]), raw, *_narrow(doc[begin:end]), *_narrow(place[begin:end])))
+                begin = end
+            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SEED_ROW.split(", ")])
+
+
+SEED_ROW = "bucket int, h binary, doc_low long, doc binary, doc_width int, at_low long, at binary, at_width int"
+
+
+def _meet(rows: list[tuple]) -> pa.RecordBatch:
+    """Matches ``doc_id, other_id, at, other_at`` of all seeds of a bucket."""
+    raw = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 6)
+    h = np.zeros((len(raw), 8), np.uint8)
+    h[:, :6] = raw
+    h = h.view("<u8").ravel()
+    doc = np.concatenate([_wide(*r[1:4]) for r in rows])
+    at = np.concatenate([_wide(*r[4:7]) for r in rows])
+    order = np.argsort(h, kind="stable")
+    sorted_h = h[order]
+    twin = np.zeros(len(h) + 1, bool)
+    twin[1:-1] = sorted_h[1:] == sorted_h[:-1]
+    keep = order[twin[1:] | twin[:-1]]
+    h, doc, at = h[keep], doc[keep], at[keep]
+    order = np.lexsort((at, doc, h))
+    h, doc, at = h[order], doc[order], at[order]
+    n = len(h)
+    new_h = np.ones(n, bool)
+    new_h[1:] = h[1:] != h[:-1]
+    holder = np.maximum.accumulate(np.where(new_h, np.arange(n), 0))
+    new_doc = new_h.copy()
+    new_doc[1:] |= doc[1:] != doc[:-1]
+    fresh = new_doc.copy()  # FIRST
+    other = fresh & (doc != doc[holder])
+    here, there = np.flatnonzero(other), holder[other]
+    return pa.RecordBatch.from_arrays([pa.array(doc[here]), pa.array(doc[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["doc_id", "other_id", "at", "other_at"])
+
+
+def _matches(batches):
+    """Packed seeds, sorted by bucket, to matches."""
+    key, rows = None, []
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        for bucket, *row in zip(*columns, strict=True):
+            if bucket != key:
+                if rows:
+                    yield _meet(rows)
+                key, rows = bucket, []
+            rows.append(row)
+    if rows:
+        yield _meet(rows)
 
 
 class PrefixMax:
@@ -108,15 +178,14 @@ def chains(a: list[int], b: list[int], gap: float = GAP) -> list[list[int]]:
 
 
 def _chain_rows(batches):
-    """Rows ``doc_id, other_id, at, other_at``, sorted, to one row a chain that may be long enough."""
+    """Rows ``doc_id, other_id, at, other_at``, sorted, to one row a chain."""
     names = ["doc_id", "other_id", "at", "other_at"]
     key, a, b = None, [], []
     out: list[tuple] = []
 
     def done():
         for path in chains(a, b):
-            if len(path) > 1:
-                out.append((*key, [a[i] for i in path], [b[i] for i in path]))
+            out.append((*key, [a[i] for i in path], [b[i] for i in path]))
 
     def flush():
         got = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32())), pa.array([x[3] for x in out], pa.list_(pa.int32()))], names)
@@ -126,14 +195,14 @@ def _chain_rows(batches):
     for batch in batches:
         for d, o, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (d, o) != key:
-                if len(a) > 1:
+                if a:
                     done()
                 key, a, b = (d, o), [], []
             a.append(x)
             b.append(y)
         if len(out) > 1000:
             yield flush()
-    if len(a) > 1:
+    if a:
         done()
     if out:
         yield flush()
@@ -144,7 +213,8 @@ def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop
 
     Between matches on one diagonal words are compared in place; where the diagonal shifts,
     the words before the best switching point are compared on the old one and the rest on the
-    new one.  Both ends are extended until mismatches cost more than ``drop``.
+    new one.  Both ends are extended until mismatches cost more than ``drop``; a stretch that
+    is then too short for a passage is widened to one if there is one around it.
     """
     equal = 0
     for x, y, x2, y2 in zip(a[:-1], b[:-1], a[1:], b[1:], strict=True):
@@ -158,12 +228,28 @@ def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop
             behind = np.concatenate([[0], np.cumsum(new[::-1])])[::-1]
             equal += int((before + behind).max())
     n = min(len(own) - a[-1], len(other) - b[-1])
-    reach, same = _extend(own[a[-1] : a[-1] + n] == other[b[-1] : b[-1] + n], drop)
-    end = a[-1] + reach
+    after = own[a[-1] : a[-1] + n] == other[b[-1] : b[-1] + n]
+    right, same = _extend(after, drop)
     equal += same
     n = min(a[0], b[0])
-    reach, same = _extend((own[a[0] - n : a[0]] == other[b[0] - n : b[0]])[::-1], drop)
-    return int(a[0] - reach), int(end), equal + same
+    before = (own[a[0] - n : a[0]] == other[b[0] - n : b[0]])[::-1]
+    left, same = _extend(before, drop)
+    equal += same
+    begin, end = int(a[0] - left), int(a[-1] + right)
+    if PIECE <= end - begin < LEAST:
+        x, y, same = _widen(before[left:], after[right:], end - begin, equal)
+        begin, end, equal = begin - x, end + y, equal + same
+    return begin, end, equal
+
+
+def _widen(before: np.ndarray, after: np.ndarray, n: int, equal: int) -> tuple[int, int, int]:
+    """Words to add on either side, up to an equal one, that make a passage of the largest share; zeros if none do."""
+    x, y = (np.append(0, np.flatnonzero(side[:LEAST]) + 1) for side in (before, after))
+    long = n + x[:, None] + y
+    same = equal + np.arange(len(x))[:, None] + np.arange(len(y))
+    share = np.where(long >= LEAST, same / long, 0)
+    i, j = np.unravel_index(int(share.argmax()), share.shape)
+    return (int(x[i]), int(y[j]), int(i + j)) if share[i, j] >= SHARE else (0, 0, 0)
 
 
 def _cut(x: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -225,24 +311,18 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     ship(spark)
     scratch = Scratch(spark, "chain")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    seeds = scratch.keep(rows.mapInArrow(_seeds, "doc_id long, h array<long>, at array<int>"), "seeds")
-    flat = seeds.select("doc_id", F.inline(F.arrays_zip("h", "at")))
-    found = flat.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("c"), F.max("doc_id").alias("top"))
-    shared = scratch.keep(found.filter("top <> c.doc_id").select("h", F.col("c.doc_id").alias("other_id"), F.col("c.at").alias("other_at")), "shared")
-    side = F.broadcast(shared) if shared.count() <= BROADCAST_KEYS else shared
-    met = flat.join(side, "h").filter("doc_id <> other_id").select("doc_id", "other_id", "at", "other_at")
+    packed = rows.mapInArrow(_seeds, SEED_ROW).repartition("bucket").sortWithinPartitions("bucket")
+    met = packed.mapInArrow(_matches, "doc_id long, other_id long, at int, other_at int")
     met = met.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
     linked = scratch.keep(met.mapInArrow(_chain_rows, "doc_id long, other_id long, at array<int>, other_at array<int>"), "chains")
-    scratch.drop(seeds, shared)
 
     ids = scratch.keep(linked.select("doc_id").union(linked.select("other_id")).distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     held = rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_word_rows, "doc_id long, words binary")
     held = scratch.keep(held, "words")
-    pad = LEAST + WINDOW
     linked = linked.withColumns({
-        "base": F.greatest(F.lit(0), F.element_at("at", 1) - pad), "other_base": F.greatest(F.lit(0), F.element_at("other_at", 1) - pad),
-        "to": F.element_at("at", -1) + K + pad, "other_to": F.element_at("other_at", -1) + K + pad,
+        "base": F.greatest(F.lit(0), F.element_at("at", 1) - PAD), "other_base": F.greatest(F.lit(0), F.element_at("other_at", 1) - PAD),
+        "to": F.element_at("at", -1) + K + PAD, "other_to": F.element_at("other_at", -1) + K + PAD,
     })
     cut = lambda words, base, to: F.substring(F.col(words), F.col(base) * 4 + 1, (F.col(to) - F.col(base)) * 4)
     both = linked.join(held, "doc_id").withColumn("own", cut("words", "base", "to")).drop("words", "to")

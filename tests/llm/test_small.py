@@ -144,6 +144,25 @@ def test_chains_are_best():
         assert sorted(i for c in substrings.chains(a, b) for i in c) == list(range(len(pts)))
 
 
+@pytest.mark.parametrize("change", [14, 10, 8, 6, 5, "random"])
+def test_passages_with_substitutions(spark, change):
+    """Every shared stretch of 60 words of which at least 80 % are equal, changed evenly or at 12 random words."""
+    rng = random.Random(8)
+    docs, pairs = [], 40
+    for i in range(pairs):
+        shared = prose(rng, 60).split()
+        part = list(shared)
+        for k in sorted(rng.sample(range(60), 12)) if change == "random" else range(change - 1, 60, change):
+            part[k] = f"changed{k}"
+        assert sum(x == y for x, y in zip(shared, part, strict=True)) >= 48
+        docs += [(2 * i, f"{prose(rng, 80)} {' '.join(shared)} {prose(rng, 80)}"), (2 * i + 1, f"{prose(rng, 50)} {' '.join(part)} {prose(rng, 50)}")]
+    found = {(r.doc_id, o) for r in substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect() for o in r.other_ids}
+    recall = sum((2 * i + 1, 2 * i) in found for i in range(pairs)) / pairs
+    print(f"one word in {change}: recall {recall}")
+    assert found <= {(2 * i + 1, 2 * i) for i in range(pairs)}
+    assert recall >= 0.9
+
+
 def test_substrings_edges(spark, awkward, empty):
     assert substrings.passages(awkward).count() == 0
     assert substrings.passages(empty).count() == 0
