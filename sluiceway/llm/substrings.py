@@ -78,7 +78,12 @@ SEED_ROW = "bucket int, h binary, doc_low long, doc binary, doc_width int, at_lo
 
 
 def _meet(rows: list[tuple]) -> pa.RecordBatch:
-    """Matches ``doc_id, other_id, at, other_at`` of all seeds of a bucket."""
+    """Matches ``doc_id, other_id, at, other_at`` of all seeds of a bucket.
+
+    Each place of a seed meets its first place in the first document that holds it.  A place
+    also meets the first one in its own document, unless the seed stood less than a passage
+    before it: there a short period goes on, which is no repeat.
+    """
     raw = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 6)
     h = np.zeros((len(raw), 8), np.uint8)
     h[:, :6] = raw
@@ -99,9 +104,13 @@ def _meet(rows: list[tuple]) -> pa.RecordBatch:
     holder = np.maximum.accumulate(np.where(new_h, np.arange(n), 0))
     new_doc = new_h.copy()
     new_doc[1:] |= doc[1:] != doc[:-1]
-    fresh = new_doc.copy()  # FIRST
+    first = np.maximum.accumulate(np.where(new_doc, np.arange(n), 0))
+    again = np.zeros(n, bool)
+    again[1:] = ~new_doc[1:] & (at[1:] - at[:-1] >= LEAST)
+    fresh = np.ones(n, bool)
+    fresh[1:] = new_doc[1:] | (at[1:] != at[:-1])
     other = fresh & (doc != doc[holder])
-    here, there = np.flatnonzero(other), holder[other]
+    here, there = np.append(np.flatnonzero(other), np.flatnonzero(again)), np.append(holder[other], first[again])
     return pa.RecordBatch.from_arrays([pa.array(doc[here]), pa.array(doc[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["doc_id", "other_id", "at", "other_at"])
 
 
@@ -302,10 +311,10 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
 
     Positions count words (runs outside ``[\\x20\\x09-\\x0D]``, A-Z as a-z), ends are exclusive;
     ``other_ids`` are earlier documents (by id) that hold it or parts of it, ``equal`` the words
-    found there.  The first holder of a passage is in ``other_ids`` only.  Null and empty texts
-    and null ids have none; an id that repeats counts as one document, of which any text may
-    match.  Repeats within a document are not looked for, and a run of one repeated word, which
-    has a single distinct seed, is no passage.  Ids are integers.
+    found there; a passage that stands earlier in its own document has that id too.  The first
+    holder's first place is in ``other_ids`` only.  Words that go on with a period under 50 words
+    are no repeat of themselves within a document.  Null and empty texts and null ids have none;
+    an id that repeats counts as one document, of which any text may match.  Ids are integers.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -163,6 +163,17 @@ def test_passages_with_substitutions(spark, change):
     assert recall >= 0.9
 
 
+def test_passages_repeated_within_documents(spark):
+    """A later copy is found in a document that shares it with another one, and in one that does not."""
+    rng = random.Random(9)
+    p, q, r = (prose(rng, n) for n in (70, 60, 55))
+    docs = [(1, f"{prose(rng, 20)} {p} {prose(rng, 30)}"), (2, f"{p} {prose(rng, 100)} {p}"), (3, f"{q} {prose(rng, 90)} {q} {prose(rng, 9)}"), (4, " ".join([r] * 5)), (5, prose(rng, 300))]
+    found = {(x.doc_id, x.begin, x.end): x.other_ids for x in substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    near = lambda d, a, b: [o for (i, x, y), o in found.items() if i == d and abs(x - a) < 4 and abs(y - b) < 4]
+    assert [len(near(*k)) for k in [(2, 0, 70), (2, 170, 240), (3, 150, 210), (4, 55, 275)]] == [1] * 4 == [1] * len(found)
+    assert near(2, 170, 240) == [[1, 2]] and near(3, 150, 210) == [[3]]
+
+
 def test_substrings_edges(spark, awkward, empty):
     assert substrings.passages(awkward).count() == 0
     assert substrings.passages(empty).count() == 0
