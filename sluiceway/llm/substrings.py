@@ -217,8 +217,8 @@ def _chain_rows(batches):
         yield flush()
 
 
-def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, int]:
-    """Begin, end and equal words of ``own`` along a chain of matches against ``other``.
+def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, int, bool, bool]:
+    """Begin, end and equal words of ``own`` along a chain of matches against ``other``, and whether it may go on at either side.
 
     Between matches on one diagonal words are compared in place; where the diagonal shifts,
     the words before the best switching point are compared on the old one and the rest on the
@@ -238,17 +238,17 @@ def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop
             equal += int((before + behind).max())
     n = min(len(own) - a[-1], len(other) - b[-1])
     after = own[a[-1] : a[-1] + n] == other[b[-1] : b[-1] + n]
-    right, same = _extend(after, drop)
+    right, same, more_right = _extend(after, drop)
     equal += same
     n = min(a[0], b[0])
     before = (own[a[0] - n : a[0]] == other[b[0] - n : b[0]])[::-1]
-    left, same = _extend(before, drop)
+    left, same, more_left = _extend(before, drop)
     equal += same
     begin, end = int(a[0] - left), int(a[-1] + right)
     if PIECE <= end - begin < LEAST:
         x, y, same = _widen(before[left:], after[right:], end - begin, equal)
         begin, end, equal = begin - x, end + y, equal + same
-    return begin, end, equal
+    return begin, end, equal, more_left, more_right
 
 
 def _widen(before: np.ndarray, after: np.ndarray, n: int, equal: int) -> tuple[int, int, int]:
@@ -270,18 +270,18 @@ def _cut(x: np.ndarray, start: int, n: int) -> np.ndarray:
     return out
 
 
-def _extend(same: np.ndarray, drop: int) -> tuple[int, int]:
-    """How far equal words go, and how many of them are equal."""
+def _extend(same: np.ndarray, drop: int) -> tuple[int, int, bool]:
+    """How far equal words go, how many of them are equal, and whether more words might have been reached."""
     if not len(same):
-        return 0, 0
+        return 0, 0, True
     score = np.cumsum(np.where(same, 1, -2))
     top = np.maximum.accumulate(np.maximum(score, 0))
     stop = np.flatnonzero(top - score > drop)
     score = score[: stop[0]] if len(stop) else score
     if not len(score) or score.max() <= 0:
-        return 0, 0
+        return 0, 0, not len(stop)
     reach = int(score.argmax()) + 1
-    return reach, int(same[:reach].sum())
+    return reach, int(same[:reach].sum()), not len(stop)
 
 
 def _word_rows(batches):
@@ -293,16 +293,46 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), varlen(h, w.bounds)], ["doc_id", "words"])
 
 
+STRETCH_ROW = "doc_id long, other_id long, begin long, end long, equal long"
+
+
 def _stretches(batches):
-    """Chains with the words around them on both sides, to aligned stretches."""
+    """Chains with the words around them on both sides, to aligned stretches, or to themselves where these words do not suffice."""
+    names = ("doc_id", "other_id", "at", "other_at", "base", "other_base", "own", "other", "own_words", "other_words")
+    for batch in batches:
+        rows = []
+        c = {n: batch.column(n).to_pylist() for n in names}
+        for d, o, x, y, base, obase, own, other, n, m in zip(*(c[k] for k in names), strict=True):
+            own, other = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
+            a, b = np.array(x) - base, np.array(y) - obase
+            begin, end, equal, left, right = align(own, other, a, b)
+            u, v = len(own) - a[-1], len(other) - b[-1]
+            left &= base > 0 if a[0] < b[0] else obase > 0 if b[0] < a[0] else base > 0 and obase > 0
+            right &= base + len(own) < n if u < v else obase + len(other) < m if v < u else base + len(own) < n and obase + len(other) < m
+            if left or right:
+                rows.append((d, o, None, None, None, x, y))
+            elif end - begin >= PIECE and equal >= SHARE * (end - begin):
+                rows.append((d, o, base + begin, base + end, equal, None, None))
+        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "other_id", "begin", "end", "equal", "at", "other_at"])
+
+
+def _whole_stretches(batches):
+    """Pairs of whole texts with their chains, to aligned stretches; a chain inside an earlier stretch adds nothing."""
     for batch in batches:
         rows = []
         c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        for d, o, x, y, base, obase, own, other in zip(*(c[n] for n in ("doc_id", "other_id", "at", "other_at", "base", "other_base", "own", "other")), strict=True):
+        for d, o, paths, own, other in zip(*(c[n] for n in ("doc_id", "other_id", "paths", "own", "other")), strict=True):
             own, other = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
-            begin, end, equal = align(own, other, np.array(x) - base, np.array(y) - obase)
-            if end - begin >= PIECE and equal >= SHARE * (end - begin):
-                rows.append((d, o, base + begin, base + end, equal))
+            known: list[tuple[int, int]] = []
+            for path in sorted(paths, key=lambda p: (-len(p["at"]), p["at"], p["other_at"])):
+                x, y = np.array(path["at"]), np.array(path["other_at"])
+                if x[-1] >= len(own) or y[-1] >= len(other) or any(lo <= x[0] and x[-1] < hi for lo, hi in known):
+                    continue
+                begin, end, equal, _, _ = align(own, other, x, y)
+                if end - begin >= PIECE and equal >= SHARE * (end - begin):
+                    known.append((begin, end))
+                    rows.append((d, o, begin, end, equal))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "other_id", "begin", "end", "equal"])
 
 
@@ -334,10 +364,14 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         "to": F.element_at("at", -1) + K + PAD, "other_to": F.element_at("other_at", -1) + K + PAD,
     })
     cut = lambda words, base, to: F.substring(F.col(words), F.col(base) * 4 + 1, (F.col(to) - F.col(base)) * 4)
-    both = linked.join(held, "doc_id").withColumn("own", cut("words", "base", "to")).drop("words", "to")
+    both = linked.join(held, "doc_id").withColumns({"own": cut("words", "base", "to"), "own_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "to")
     right = held.select(F.col("doc_id").alias("other_id"), "words")
-    both = both.join(right, "other_id").withColumn("other", cut("words", "other_base", "other_to")).drop("words", "other_to")
-    pieces = both.mapInArrow(_stretches, "doc_id long, other_id long, begin long, end long, equal long")
+    both = both.join(right, "other_id").withColumns({"other": cut("words", "other_base", "other_to"), "other_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "other_to")
+    pieces = scratch.keep(both.mapInArrow(_stretches, STRETCH_ROW + ", at array<int>, other_at array<int>"), "stretches")
+    # chains that go on beyond the words beside them, such as those of periodic passages, are aligned over whole texts
+    long = pieces.filter("at is not null").groupBy("doc_id", "other_id").agg(F.collect_list(F.struct("at", "other_at")).alias("paths"))
+    long = long.join(held.withColumnRenamed("words", "own"), "doc_id").join(right.withColumnRenamed("words", "other"), "other_id")
+    pieces = pieces.filter("at is null").select("doc_id", "other_id", "begin", "end", "equal").unionByName(long.mapInArrow(_whole_stretches, STRETCH_ROW))
     # stretches of a document that touch or overlap make one passage; their number is bounded by its length
     of = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "other_id", "equal"))).alias("p"))
     start = "cast(array() as array<struct<begin:bigint,end:bigint,equal:bigint,ids:array<bigint>>>)"

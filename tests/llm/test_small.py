@@ -174,6 +174,22 @@ def test_passages_repeated_within_documents(spark):
     assert near(2, 170, 240) == [[1, 2]] and near(3, 150, 210) == [[3]]
 
 
+def test_periodic_passages(spark):
+    """Passages of 200 words of a short period are found whole in a second document, at any phase."""
+    rng = random.Random(10)
+    docs, periods = [], [1, 2, 4, 7, 8, 10, 12, 40]
+    for i, period in enumerate(periods):
+        line = [f"p{i}x{k}" for k in range(period)]
+        for j, n in enumerate((200, 203, 500)):
+            run = (line * 600)[j : j + n]
+            docs.append((3 * i + j, f"{prose(rng, 90)} {' '.join(run)} {prose(rng, 90)}"))
+    found = {}
+    for r in substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        assert r.doc_id % 3 and abs(r.begin - 90) < 4 and r.other_ids == [r.doc_id // 3 * 3]
+        found[r.doc_id] = r.n_words
+    assert all(abs(found[3 * i + 1] - 203) < 4 and abs(found[3 * i + 2] - 500) < 4 for i in range(len(periods)))
+
+
 def test_substrings_edges(spark, awkward, empty):
     assert substrings.passages(awkward).count() == 0
     assert substrings.passages(empty).count() == 0
