@@ -16,6 +16,8 @@ from .runtime import Scratch
 MASKS = ("1101011", "11100101")
 #: Share of a test's words that must be found on its alignments.
 SHARE = 0.8
+#: Words of a window of a test, and how many of them at their place make an excerpt.
+WINDOW, WINDOW_EQUAL = 13, 11
 #: Ids and tests up to these counts are broadcast; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_TESTS = 200_000, 20_000
 
@@ -41,12 +43,16 @@ def _seed_rows(rows: DataFrame, key: str) -> DataFrame:
     return hashed.select(key, F.inline(_seeds("w")))
 
 
-def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE) -> DataFrame:
+def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, excerpts: bool = False) -> DataFrame:
     """``doc_id, item_id, matched, item_words, share``: the documents that hold a test and the tests that each holds.
 
     A document holds a test if at least ``share`` of the test's words stand at their place
     on alignments that a seed found.  Null or empty texts, tests shorter than the longest
     mask, and null ids hold nothing and are held by nothing.  Repeated rows give one pair.
+
+    With ``excerpts`` a document also holds a test if ``WINDOW_EQUAL`` of ``WINDOW`` words in a row
+    stand at their place on one such alignment, and a column ``excerpt`` has the most equal words
+    of a window.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "tests")
@@ -65,14 +71,21 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     by = lines.groupBy("doc_id", "item_id").agg(F.collect_set("line").alias("at"))
     pairs = by.join(small(items), "item_id").join(held, "doc_id")
     same = F.expr("size(filter(sequence(0, size(w) - 1), k -> exists(at, d -> d + k >= 0 and get(dw, d + k) = w[k])))")
-    out = pairs.select("doc_id", "item_id", same.cast("long").alias("matched"), F.size("w").cast("long").alias("item_words"))
-    out = out.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
-    return out.withColumn("share", F.col("matched") / F.col("item_words")).filter(F.col("share") >= share)
+    size = F.size("w").cast("long")
+    if not excerpts:
+        out = pairs.select("doc_id", "item_id", same.cast("long").alias("matched"), size.alias("item_words"))
+        out = out.groupBy("doc_id", "item_id").agg(F.max("matched").alias("matched"), F.max("item_words").alias("item_words"))
+        return out.withColumn("share", F.col("matched") / F.col("item_words")).filter(F.col("share") >= share)
+    window = f"size(filter(sequence(s, least(s + {WINDOW}, size(w)) - 1), k -> d + k >= 0 and get(dw, d + k) = w[k]))"
+    most = F.expr(f"array_max(transform(at, d -> array_max(transform(sequence(0, greatest(size(w) - {WINDOW}, 0)), s -> {window}))))")
+    out = pairs.select("doc_id", "item_id", same.cast("long").alias("matched"), size.alias("item_words"), most.cast("long").alias("excerpt"))
+    out = out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("matched", "item_words", "excerpt")))
+    return out.withColumn("share", F.col("matched") / F.col("item_words")).filter((F.col("share") >= share) | (F.col("excerpt") >= WINDOW_EQUAL))
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no test, with all their columns."""
+    """The documents that hold no test and no excerpt of one, with all their columns."""
     spark = docs.sparkSession
-    hit = Scratch(spark, "held").keep(overlaps(docs, tests, id_col, text_col, **options).select(F.col("doc_id").alias("__id")).distinct())
+    hit = Scratch(spark, "held").keep(overlaps(docs, tests, id_col, text_col, excerpts=True, **options).select(F.col("doc_id").alias("__id")).distinct())
     side = F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit
     return docs.join(side, docs[id_col] == F.col("__id"), "left_anti")

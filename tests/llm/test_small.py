@@ -421,6 +421,18 @@ def test_overlaps(spark, data, awkward, empty):
     assert {(r.doc_id, r.item_id) for r in whole.collect()} == plain_overlaps(real, [(r.item_id, r.text) for r in bench.collect()])
 
 
+def test_excerpts_of_long_items(spark):
+    rng = random.Random(11)
+    a, b = prose(rng, 59).split(), prose(rng, 300).split()
+    changed = [x if k % 7 else "new" for k, x in enumerate(b[100:140])]
+    parts = [a[5:45], b[100:200], changed, a[:9], []]
+    docs = spark.createDataFrame([(i, " ".join(prose(rng, 40).split() + p + prose(rng, 40).split())) for i, p in enumerate(parts)], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, tests).collect()} == {3, 4}
+    got = {(r.doc_id, r.item_id): (r.matched, r.excerpt) for r in decontaminate.overlaps(docs, tests, excerpts=True).collect()}
+    assert got == {(0, 1): (40, 13), (1, 2): (100, 13), (2, 2): (34, 12)}
+
+
 # --- 10 BPE ------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def model():
