@@ -83,9 +83,24 @@ def overlaps(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col
     return out.withColumn("share", F.col("matched") / F.col("item_words")).filter((F.col("share") >= share) | (F.col("excerpt") >= WINDOW_EQUAL))
 
 
+def _short_holders(docs: DataFrame, tests: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text_col: str = "text", **_) -> DataFrame:
+    """``__id`` of the documents that hold a test shorter than the longest mask, as the same words in a row."""
+    span = max(len(m) for m in MASKS)
+    short = tests.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("w")).filter(F.col("item_id").isNotNull() & F.size("w").between(1, span - 1))
+    short = short.select(F.size("w").alias("n"), F.array_join("w", " ").alias("line")).distinct()
+    sizes = [r.n for r in short.select("n").distinct().collect()]  # fewer than the words of a mask
+    texts = docs.select(F.col(id_col).alias("__id"), words(F.col(text_col)).alias("w")).filter(F.col("__id").isNotNull())
+    out = texts.select("__id").filter(F.lit(False))
+    for n in sizes:
+        lines = f"if(size(w) >= {n}, transform(sequence(0, size(w) - {n}), i -> array_join(slice(w, i + 1, {n}), ' ')), array())"
+        out = out.union(texts.select("__id", F.explode(F.expr(lines)).alias("line")).join(short.filter(F.col("n") == n), "line", "left_semi").select("__id"))
+    return out
+
+
 def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that hold no test and no excerpt of one, with all their columns."""
+    """The documents that hold no test and no excerpt of one, with all their columns; short tests count where all their words stand in a row."""
     spark = docs.sparkSession
-    hit = Scratch(spark, "held").keep(overlaps(docs, tests, id_col, text_col, excerpts=True, **options).select(F.col("doc_id").alias("__id")).distinct())
+    long = overlaps(docs, tests, id_col, text_col, excerpts=True, **options).select(F.col("doc_id").alias("__id"))
+    hit = Scratch(spark, "held").keep(long.union(_short_holders(docs, tests, id_col, text_col, **options)).distinct())
     side = F.broadcast(hit) if hit.count() <= BROADCAST_IDS else hit
     return docs.join(side, docs[id_col] == F.col("__id"), "left_anti")

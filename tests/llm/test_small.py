@@ -433,6 +433,13 @@ def test_excerpts_of_long_items(spark):
     assert got == {(0, 1): (40, 13), (1, 2): (100, 13), (2, 2): (34, 12)}
 
 
+def test_short_items(spark):
+    texts = ["x one TWO\tthree y", "x one two y three", "one two", "nine", "a b c d e f g", "a b c d e f h", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "One two  three"), (2, "nine"), (3, "a b c d e f g"), (4, ""), (5, None), (None, "one two")], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, tests).collect()} == {1, 2, 5, 6, 7}
+
+
 # --- 10 BPE ------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def model():
