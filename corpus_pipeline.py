@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sluiceway.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from sluiceway.llm.queries import tokenizer_path
@@ -33,8 +34,8 @@ def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit integers) and their number for each document."""
-    return bpe.encode(docs, tokenizer_path())
+    """Token ids (little-endian unsigned 32-bit integers), their number, and the digest of the text decoded from them, for each document."""
+    return bpe.encode(docs, tokenizer_path(), with_decoded=True).withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
 
 
 STAGES = [
@@ -42,7 +43,7 @@ STAGES = [
     ("exact dedup", keep_first_copies),
     ("n-gram Jaccard join", keep_one_of_near_copies),
     ("benchmark decontamination", keep_uncontaminated),
-    ("BPE encoding", encode),
+    ("BPE encoding and decoding", encode),
 ]
 
 #: A fitted classifier and an encoder have no SQL; tests compare the stages with plain Python instead.

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain Python."""
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -33,6 +35,13 @@ def test_stages(spark, data, tmp_path):
     assert got[4].count() == len(text[3])
 
 
+def test_last_stage_decodes(spark, data):
+    texts = ["plain words", "é \u4e16\n\t x", "", "  a  b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.decoded_sha256 for r in corpus_pipeline.STAGES[-1][1](spark, docs, data).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in enumerate(texts)}
+
+
 def test_run_on_empty_documents(spark, data, tmp_path):
     for name in ("labels", "benchmark", "documents"):
         t = spark.read.parquet(f"{data}/{name}.parquet")
