@@ -377,13 +377,6 @@ def test_pseudonyms(spark, awkward, empty):
     assert pseudonyms.pseudonymise(empty, "k").count() == 0
 
 
-def test_feistel_is_a_permutation(spark):
-    n = spark.range(1000).select(pseudonyms.permute_digits("k", "t", F.lpad(F.col("id").cast("string"), 3, "0")).alias("v"))
-    assert n.distinct().count() == 1000 and n.filter("length(v) = 3").count() == 1000
-    days = spark.range(pseudonyms.DAYS).select(pseudonyms.permute("k", "d", F.floor(F.col("id") / 4297), F.col("id") % 4297, F.lit(17), F.lit(4297)).alias("v"))
-    assert days.distinct().count() == pseudonyms.DAYS
-
-
 # --- 9 decontamination ---------------------------------------------------------------------------------
 def plain_overlaps(docs, tests, share=decontaminate.SHARE):
     out = set()
