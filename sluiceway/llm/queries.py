@@ -39,7 +39,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import passages
 
-    return passages(table(spark, sf_dir, "documents"))
+    return passages(table(spark, sf_dir, "documents"), holders=True)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

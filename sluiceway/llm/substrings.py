@@ -1,10 +1,12 @@
 """Fuzzy repeated passages by collinear chaining.
 
-Words under a spaced mask at every position are seeds, sent to buckets of equal hashes; each
-seed joins a document with the first document that holds it, so a passage shared by many
-documents costs one match a holder.  Matches of a pair of documents are chained in order, with
-gap costs, through a Fenwick tree of prefix maxima; chains are aligned word by word, and
-aligned stretches that touch are merged into the passages of a document that also stand elsewhere.
+Words under a spaced mask at every position are seeds.  Seeds of a pack of texts meet there
+first; those of each seed's first holder go on to buckets of equal hash prefixes, where
+holders of all packs meet, so a passage shared by many documents costs one or two matches a
+holder, and a seed that most documents hold takes one row a pack.  Matches of a pair of
+documents are chained in order, with gap costs, through a Fenwick tree of prefix maxima;
+chains are aligned word by word, and aligned stretches that touch are merged into the
+passages of a document that also stand elsewhere.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ from .runtime import Scratch, ship
 MASK = "1101011"
 #: Score of a match, and words on either side of a chain that are aligned first.
 K, PAD = 6, 62
-#: Buckets of seeds, bits of a hash that name them, and bytes of text whose seeds are packed together.
-BUCKET_BITS, PACK = 10, 1 << 22
+#: Seeds of the shortest chain.  Passages of 50 words with 80 % of them equal share about 14.
+LINKS = 2
+#: Bits of a hash that name the buckets of one level, bytes of text whose seeds are packed together, and bytes of text (about) for a bucket.
+LEVEL_BITS, PACK, BUCKET = 12, 1 << 22, 1 << 22
 #: Words of the shortest passage, of the shortest stretch that may be part of one, and between stretches that touch.
 LEAST, PIECE, TOUCH = 50, 17, 2
 #: Cost of a word skipped on either side of a chain, and matching share of an aligned stretch.
@@ -43,90 +47,148 @@ def _wide(low: int, raw: bytes, width: int) -> np.ndarray:
     return np.frombuffer(raw, f"<u{width}").astype(np.int64) + low
 
 
-def _seeds(batches):
-    """The seeds of each text at every position, packed by bucket: 48 bits of the hash, document and place."""
-    at = [i for i, c in enumerate(MASK) if c == "1"]
-    for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        for s in slices(batch.column(1), PACK):
-            w = Words(s)
-            words, n = w.hashes(), len(w.doc) - len(MASK) + 1
-            if n <= 0:
-                continue
-            first = np.flatnonzero(w.doc[:n] == w.doc[len(MASK) - 1 :])
-            if not len(first):
-                continue
-            h = np.zeros(len(first), np.uint64)
-            for j in at:
-                h = h * np.uint64(0xD6E8FEB86659FD93) + words[first + j]
-            h = mix(h + np.uint64(len(MASK)))
-            bucket = (h >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            h, first, bucket = h[order], first[order], bucket[order]
-            doc, place = ids[s.first + w.doc[first]].astype(np.int64), first - w.bounds[w.doc[first]]
-            ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
-            begin, rows = 0, []
-            for end in ends.tolist():
-                raw = h[begin:end].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-                rows.append((int(bucket[begin]), raw, *_narrow(doc[begin:end]), *_narrow(place[begin:end])))
-                begin = end
-            kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in SEED_ROW.split(", ")])
-
-
-SEED_ROW = "bucket int, h binary, doc_low long, doc binary, doc_width int, at_low long, at binary, at_width int"
-
-
-def _meet(rows: list[tuple]) -> pa.RecordBatch:
-    """Matches ``doc_id, other_id, at, other_at`` of all seeds of a bucket.
-
-    Each place of a seed meets its first place in the first document that holds it.  A place
-    also meets the first one in its own document, unless the seed stood less than a passage
-    before it: there a short period goes on, which is no repeat.
-    """
+SEED_ROW = "bucket long, h binary, doc_low long, doc binary, doc_width int, at_low long, at binary, at_width int"
+_SEED_KINDS = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+_SEED_NAMES = [x.split()[0] for x in SEED_ROW.split(", ")]
+MATCH_ROW = "doc_id long, other_id long, at int, other_at int"
+
+
+def _seed_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [()] * len(_SEED_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _SEED_KINDS, strict=True)], _SEED_NAMES)
+
+
+def _by_bucket(bucket: np.ndarray, h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> list[tuple]:
+    """One packed row for each bucket: the last 48 bits of the hashes, documents and places."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, raw, doc, at = bucket[order], np.ascontiguousarray(h[order]).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], doc[order], at[order]
+    ends = np.append(np.flatnonzero(np.diff(bucket)) + 1, len(bucket))
+    begin, rows = 0, []
+    for end in ends.tolist() if len(bucket) else []:
+        rows.append((int(bucket[begin]), raw[begin:end].tobytes(), *_narrow(doc[begin:end]), *_narrow(at[begin:end])))
+        begin = end
+    return rows
+
+
+def _open(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, documents and places of packed rows."""
     raw = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(-1, 6)
     h = np.zeros((len(raw), 8), np.uint8)
     h[:, :6] = raw
-    h = h.view("<u8").ravel()
-    doc = np.concatenate([_wide(*r[1:4]) for r in rows])
-    at = np.concatenate([_wide(*r[4:7]) for r in rows])
+    return h.view("<u8").ravel(), np.concatenate([_wide(*r[1:4]) for r in rows]), np.concatenate([_wide(*r[4:7]) for r in rows])
+
+
+def _sorted(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((at, doc)) if len(doc) and (np.diff(doc) < 0).any() else None
+    if order is not None:
+        h, doc, at = h[order], doc[order], at[order]
     order = np.argsort(h, kind="stable")
-    sorted_h = h[order]
-    twin = np.zeros(len(h) + 1, bool)
-    twin[1:-1] = sorted_h[1:] == sorted_h[:-1]
-    keep = order[twin[1:] | twin[:-1]]
-    h, doc, at = h[keep], doc[keep], at[keep]
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
+    return h[order], doc[order], at[order]
+
+
+def _meet(h: np.ndarray, doc: np.ndarray, at: np.ndarray, own: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches, as indices (here, there), of seeds sorted by hash, document and place; and which are of their first holder.
+
+    Each place of a seed meets its first place in the first document that holds it.  With
+    ``own``, a place also meets the first one in its own document, unless the seed stood less
+    than a passage before it: there a short period goes on, which is no repeat.
+    """
     n = len(h)
     new_h = np.ones(n, bool)
     new_h[1:] = h[1:] != h[:-1]
     holder = np.maximum.accumulate(np.where(new_h, np.arange(n), 0))
     new_doc = new_h.copy()
     new_doc[1:] |= doc[1:] != doc[:-1]
-    first = np.maximum.accumulate(np.where(new_doc, np.arange(n), 0))
-    again = np.zeros(n, bool)
-    again[1:] = ~new_doc[1:] & (at[1:] - at[:-1] >= LEAST)
     fresh = np.ones(n, bool)
     fresh[1:] = new_doc[1:] | (at[1:] != at[:-1])
-    other = fresh & (doc != doc[holder])
-    here, there = np.append(np.flatnonzero(other), np.flatnonzero(again)), np.append(holder[other], first[again])
-    return pa.RecordBatch.from_arrays([pa.array(doc[here]), pa.array(doc[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["doc_id", "other_id", "at", "other_at"])
+    held = doc == doc[holder]
+    here, there = np.flatnonzero(fresh & ~held), holder[fresh & ~held]
+    if own:
+        first = np.maximum.accumulate(np.where(new_doc, np.arange(n), 0))
+        again = np.zeros(n, bool)
+        again[1:] = ~new_doc[1:] & (at[1:] - at[:-1] >= LEAST)
+        here, there = np.append(here, np.flatnonzero(again)), np.append(there, first[again])
+    return here, there, held & fresh
+
+
+def _pack(parts: list[tuple]) -> pa.RecordBatch:
+    """Seeds of some texts: those of first holders by bucket, and matches among them under negative buckets."""
+    h, doc, at = _sorted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
+    here, there, held = _meet(h, doc, at, True)
+    rows = _by_bucket((h[held] >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), h[held], doc[held], at[held])
+    for k in range(0, len(here), 1 << 16):
+        x = np.append(here[k : k + (1 << 16)], there[k : k + (1 << 16)])
+        rows.append((-1 - int(doc[x[0]] & 0xFFFF), b"", *_narrow(doc[x]), *_narrow(at[x])))
+    return _seed_batch(rows)
 
 
-def _matches(batches):
-    """Packed seeds, sorted by bucket, to matches."""
-    key, rows = None, []
+def _seeds(batches):
+    """Texts to packed seeds, a pack of about ``PACK`` bytes of text at a time."""
+    marks = [i for i, c in enumerate(MASK) if c == "1"]
+    parts, size = [], 0
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(batch.num_columns)]
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for s in slices(batch.column(1)):
+            w = Words(s)
+            words, n = w.hashes(), len(w.doc) - len(MASK) + 1
+            first = np.flatnonzero(w.doc[:n] == w.doc[len(MASK) - 1 :]) if n > 0 else []
+            if not len(first):
+                continue
+            h = np.zeros(len(first), np.uint64)
+            for j in marks:
+                h = h * np.uint64(0xD6E8FEB86659FD93) + words[first + j]
+            parts.append((mix(h + np.uint64(len(MASK))), ids[s.first + w.doc[first]].astype(np.int64), first - w.bounds[w.doc[first]]))
+            size += len(s.data)
+            if size >= PACK:
+                yield _pack(parts)
+                parts, size = [], 0
+    if parts:
+        yield _pack(parts)
+
+
+def _groups(batches, most: int | None = None):
+    """Packed rows, sorted by bucket, as (bucket, rows): all of a bucket, or portions of about ``most`` bytes of hashes."""
+    key, rows, size = None, [], 0
+    for batch in batches:
+        columns = [c.to_pylist() for c in batch.columns]
         for bucket, *row in zip(*columns, strict=True):
-            if bucket != key:
-                if rows:
-                    yield _meet(rows)
-                key, rows = bucket, []
+            if rows and (bucket != key or bucket < 0 or (most is not None and size >= most)):
+                yield key, rows
+                rows, size = [], 0
+            key = bucket
             rows.append(row)
+            size += len(row[0])
     if rows:
-        yield _meet(rows)
+        yield key, rows
+
+
+def _finer(batches):
+    """Seeds of buckets to buckets of the next bits of their hashes."""
+    for bucket, rows in _groups(batches, PACK):
+        if bucket < 0:
+            yield _seed_batch([(bucket, *r) for r in rows])
+            continue
+        h, doc, at = _open(rows)
+        yield _seed_batch(_by_bucket((bucket << LEVEL_BITS) + (h >> np.uint64(48 - LEVEL_BITS)).astype(np.int64), h, doc, at))
+
+
+def _matches(batches):
+    """Packed rows, sorted by bucket, to matches ``doc_id, other_id, at, other_at``."""
+    for bucket, rows in _groups(batches):
+        h, doc, at = _open(rows)
+        if bucket < 0:
+            here, there = np.split(np.arange(len(doc)), 2)
+        else:
+            order = np.argsort(h, kind="stable")
+            twin = np.zeros(len(h) + 1, bool)
+            twin[1:-1] = h[order][1:] == h[order][:-1]
+            keep = order[twin[1:] | twin[:-1]]
+            h, doc, at = h[keep], doc[keep], at[keep]
+            order = np.lexsort((at, doc, h))
+            h, doc, at = h[order], doc[order], at[order]
+            here, there, _ = _meet(h, doc, at, False)
+        if len(here):
+            yield pa.RecordBatch.from_arrays([pa.array(doc[here]), pa.array(doc[there]), pa.array(at[here].astype(np.int32)), pa.array(at[there].astype(np.int32))], ["doc_id", "other_id", "at", "other_at"])
 
 
 class PrefixMax:
@@ -186,35 +248,52 @@ def chains(a: list[int], b: list[int], gap: float = GAP) -> list[list[int]]:
     return out
 
 
-def _chain_rows(batches):
-    """Rows ``doc_id, other_id, at, other_at``, sorted, to one row a chain."""
-    names = ["doc_id", "other_id", "at", "other_at"]
-    key, a, b = None, [], []
-    out: list[tuple] = []
+def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matches that stand for a run of one word, whose only seed meets only one place: every ``PIECE``-th of each run."""
+    order = np.lexsort((a, b))
+    x, y = a[order], b[order]
+    on = np.zeros(len(x) + 1, bool)
+    on[1:-1] = (y[1:] == y[:-1]) & (x[1:] - x[:-1] == 1)
+    begin = np.maximum.accumulate(np.where(on[:-1], 0, np.arange(len(x))))
+    out = np.zeros(len(x), bool)
+    out[order] = (on[:-1] | on[1:]) & ((np.arange(len(x)) - begin) % PIECE == 0)
+    return out
 
-    def done():
-        for path in chains(a, b):
-            out.append((*key, [a[i] for i in path], [b[i] for i in path]))
 
-    def flush():
-        got = pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32())), pa.array([x[3] for x in out], pa.list_(pa.int32()))], names)
-        out.clear()
-        return got
+def _chain_rows(batches):
+    """Matches, sorted by pair and place, to one row a chain of at least ``LINKS`` matches."""
+    key, held = None, []
+
+    def rows(d: int, o: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+        if len(a) < LINKS:
+            return []
+        if (a - b == a[0] - b[0]).all() and (np.diff(a) > 0).all() and (np.diff(a) * 2 * GAP < K).all():
+            return [(d, o, a.tolist(), b.tolist())]  # on one diagonal, where each match pays for its step: one chain of all
+        x, y = a.tolist(), b.tolist()
+        run = _runs(a, b)
+        return [(d, o, [x[i] for i in path], [y[i] for i in path]) for path in chains(x, y) if len(path) >= LINKS or run[path[0]]]
+
+    def out(found: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], ["doc_id", "other_id", "at", "other_at"])
 
     for batch in batches:
-        for d, o, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (d, o) != key:
-                if a:
-                    done()
-                key, a, b = (d, o), [], []
-            a.append(x)
-            b.append(y)
-        if len(out) > 1000:
-            yield flush()
-    if a:
-        done()
-    if out:
-        yield flush()
+        if not batch.num_rows:
+            continue
+        d, o, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        ends = np.append(np.flatnonzero((d[1:] != d[:-1]) | (o[1:] != o[:-1])) + 1, len(d)).tolist()
+        begin, found = 0, []
+        for end in ends:
+            if held and (int(d[begin]), int(o[begin])) != key:
+                found += rows(*key, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                held = []
+            key = int(d[begin]), int(o[begin])
+            held.append((a[begin:end].astype(np.int64), b[begin:end].astype(np.int64)))
+            begin = end
+        if found:
+            yield out(found)
+    if held and (found := rows(*key, *(np.concatenate(c) for c in zip(*held, strict=True)))):
+        yield out(found)
 
 
 def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, int, bool, bool]:
@@ -293,7 +372,7 @@ def _word_rows(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.first, len(s)), varlen(h, w.bounds)], ["doc_id", "words"])
 
 
-STRETCH_ROW = "doc_id long, other_id long, begin long, end long, equal long"
+STRETCH_ROW = "doc_id long, other_id long, begin long, end long, equal long, other_begin long"
 
 
 def _stretches(batches):
@@ -310,15 +389,15 @@ def _stretches(batches):
             left &= base > 0 if a[0] < b[0] else obase > 0 if b[0] < a[0] else base > 0 and obase > 0
             right &= base + len(own) < n if u < v else obase + len(other) < m if v < u else base + len(own) < n and obase + len(other) < m
             if left or right:
-                rows.append((d, o, None, None, None, x, y))
+                rows.append((d, o, None, None, None, None, x, y))
             elif end - begin >= PIECE and equal >= SHARE * (end - begin):
-                rows.append((d, o, base + begin, base + end, equal, None, None))
-        kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "other_id", "begin", "end", "equal", "at", "other_at"])
+                rows.append((d, o, base + begin, base + end, equal, obase + int(b[0] - a[0]) + begin, None, None))
+        kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * 2
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in STRETCH_ROW.split(", ")] + ["at", "other_at"])
 
 
 def _whole_stretches(batches):
-    """Pairs of whole texts with their chains, to aligned stretches; a chain inside an earlier stretch adds nothing."""
+    """Pairs of whole texts with their chains, to aligned stretches; a chain well inside an earlier stretch adds nothing."""
     for batch in batches:
         rows = []
         c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
@@ -327,53 +406,71 @@ def _whole_stretches(batches):
             known: list[tuple[int, int]] = []
             for path in sorted(paths, key=lambda p: (-len(p["at"]), p["at"], p["other_at"])):
                 x, y = np.array(path["at"]), np.array(path["other_at"])
-                if x[-1] >= len(own) or y[-1] >= len(other) or any(lo <= x[0] and x[-1] < hi for lo, hi in known):
+                if x[-1] >= len(own) or y[-1] >= len(other) or any(lo <= x[0] and x[-1] + PIECE <= hi for lo, hi in known):
                     continue
                 begin, end, equal, _, _ = align(own, other, x, y)
                 if end - begin >= PIECE and equal >= SHARE * (end - begin):
                     known.append((begin, end))
-                    rows.append((d, o, begin, end, equal))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["doc_id", "other_id", "begin", "end", "equal"])
+                    rows.append((d, o, begin, end, equal, int(y[0] - x[0]) + begin))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], [x.split()[0] for x in STRETCH_ROW.split(", ")])
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, holders: bool = False) -> DataFrame:
     """``doc_id, begin, end, n_words, equal, other_ids``: passages of at least ``least`` words that stand elsewhere too.
 
     Positions count words (runs outside ``[\\x20\\x09-\\x0D]``, A-Z as a-z), ends are exclusive;
     ``other_ids`` are earlier documents (by id) that hold it or parts of it, ``equal`` the words
     found there; a passage that stands earlier in its own document has that id too.  The first
-    holder's first place is in ``other_ids`` only.  Words that go on with a period under 50 words
-    are no repeat of themselves within a document.  Null and empty texts and null ids have none;
-    an id that repeats counts as one document, of which any text may match.  Ids are integers.
+    holder's first place is in ``other_ids`` only; with ``holders`` it has rows too, whose
+    ``other_ids`` are the least of the later documents that begin a stretch at each place.
+    Words that go on with a period under 50 words are no repeat of themselves within a document.
+    Null and empty texts and null ids have none; an id that repeats counts as one document, of
+    which any text may match.  Ids are integers; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "chain")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
-    packed = rows.mapInArrow(_seeds, SEED_ROW).repartition("bucket").sortWithinPartitions("bucket")
-    met = packed.mapInArrow(_matches, "doc_id long, other_id long, at int, other_at int")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    packed = rows.mapInArrow(_seeds, SEED_ROW)
+    for level in range(1, 4):
+        packed = packed.repartition("bucket").sortWithinPartitions("bucket")
+        if size <= BUCKET << (LEVEL_BITS * level):
+            break
+        packed = packed.mapInArrow(_finer, SEED_ROW)
+    met = packed.mapInArrow(_matches, MATCH_ROW)
     met = met.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
     linked = scratch.keep(met.mapInArrow(_chain_rows, "doc_id long, other_id long, at array<int>, other_at array<int>"), "chains")
 
     ids = scratch.keep(linked.select("doc_id").union(linked.select("other_id")).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    held = rows.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_word_rows, "doc_id long, words binary")
+    if ids.count() <= BROADCAST_IDS:
+        held = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(_word_rows, "doc_id long, words binary")
+    else:
+        held = rows.mapInArrow(_word_rows, "doc_id long, words binary").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     held = scratch.keep(held, "words")
-    linked = linked.withColumns({
+    cuts = linked.withColumns({
         "base": F.greatest(F.lit(0), F.element_at("at", 1) - PAD), "other_base": F.greatest(F.lit(0), F.element_at("other_at", 1) - PAD),
         "to": F.element_at("at", -1) + K + PAD, "other_to": F.element_at("other_at", -1) + K + PAD,
     })
     cut = lambda words, base, to: F.substring(F.col(words), F.col(base) * 4 + 1, (F.col(to) - F.col(base)) * 4)
-    both = linked.join(held, "doc_id").withColumns({"own": cut("words", "base", "to"), "own_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "to")
+    both = cuts.join(held, "doc_id").withColumns({"own": cut("words", "base", "to"), "own_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "to")
     right = held.select(F.col("doc_id").alias("other_id"), "words")
     both = both.join(right, "other_id").withColumns({"other": cut("words", "other_base", "other_to"), "other_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "other_to")
     pieces = scratch.keep(both.mapInArrow(_stretches, STRETCH_ROW + ", at array<int>, other_at array<int>"), "stretches")
     # chains that go on beyond the words beside them, such as those of periodic passages, are aligned over whole texts
     long = pieces.filter("at is not null").groupBy("doc_id", "other_id").agg(F.collect_list(F.struct("at", "other_at")).alias("paths"))
     long = long.join(held.withColumnRenamed("words", "own"), "doc_id").join(right.withColumnRenamed("words", "other"), "other_id")
-    pieces = pieces.filter("at is null").select("doc_id", "other_id", "begin", "end", "equal").unionByName(long.mapInArrow(_whole_stretches, STRETCH_ROW))
+    aligned = pieces.filter("at is null").drop("at", "other_at").unionByName(long.mapInArrow(_whole_stretches, STRETCH_ROW))
+    aligned = scratch.keep(aligned, "aligned")
+    scratch.drop(linked, ids, held, pieces)
+    found = aligned.drop("other_begin")
+    if holders:
+        # of the stretches that begin at one place of a holder the longest stays, however many documents hold it
+        last = F.struct((F.col("other_begin") + F.col("end") - F.col("begin")).alias("end"), "equal")
+        of = aligned.filter("doc_id <> other_id").groupBy(F.col("other_id").alias("doc_id"), F.col("other_begin").alias("begin")).agg(F.max(last).alias("m"), F.min("doc_id").alias("other_id"))
+        found = found.unionByName(of.select("doc_id", "other_id", "begin", "m.end", "m.equal"))
     # stretches of a document that touch or overlap make one passage; their number is bounded by its length
-    of = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "other_id", "equal"))).alias("p"))
+    of = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "other_id", "equal"))).alias("p"))
     start = "cast(array() as array<struct<begin:bigint,end:bigint,equal:bigint,ids:array<bigint>>>)"
     touch = f"size(acc) > 0 and x.begin <= element_at(acc, -1).end + {TOUCH}"
     grown = (
