@@ -260,40 +260,51 @@ def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+PATHS = "paths array<struct<at:array<int>,other_at:array<int>>>"
+
+
 def _chain_rows(batches):
-    """Matches, sorted by pair and place, to one row a chain of at least ``LINKS`` matches."""
+    """Matches, sorted by pair and place, to one row a pair with its chains of at least ``LINKS`` matches, longest first."""
     key, held = None, []
 
-    def rows(d: int, o: int, a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    def paths(a: np.ndarray, b: np.ndarray) -> list[dict]:
         if len(a) < LINKS:
             return []
         if (a - b == a[0] - b[0]).all() and (np.diff(a) > 0).all() and (np.diff(a) * 2 * GAP < K).all():
-            return [(d, o, a.tolist(), b.tolist())]  # on one diagonal, where each match pays for its step: one chain of all
+            return [{"at": a.tolist(), "other_at": b.tolist()}]  # on one diagonal, where each match pays for its step: one chain of all
         x, y = a.tolist(), b.tolist()
         run = _runs(a, b)
-        return [(d, o, [x[i] for i in path], [y[i] for i in path]) for path in chains(x, y) if len(path) >= LINKS or run[path[0]]]
+        found = [path for path in chains(x, y) if len(path) >= LINKS or run[path[0]]]
+        return [{"at": [x[i] for i in path], "other_at": [y[i] for i in path]} for path in sorted(found, key=lambda p: (-len(p), x[p[0]], y[p[0]]))]
+
+    def flush(out: list[tuple]) -> None:
+        if got := paths(*(np.concatenate(c) for c in zip(*held, strict=True))):
+            out.append((*key, got))
+        held.clear()
 
-    def out(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], ["doc_id", "other_id", "at", "other_at"])
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        lists = pa.list_(pa.int32())
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("at", lists), ("other_at", lists)])))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], ["doc_id", "other_id", "paths"])
 
     for batch in batches:
         if not batch.num_rows:
             continue
         d, o, a, b = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         ends = np.append(np.flatnonzero((d[1:] != d[:-1]) | (o[1:] != o[:-1])) + 1, len(d)).tolist()
-        begin, found = 0, []
+        begin, out = 0, []
         for end in ends:
             if held and (int(d[begin]), int(o[begin])) != key:
-                found += rows(*key, *(np.concatenate(c) for c in zip(*held, strict=True)))
-                held = []
+                flush(out)
             key = int(d[begin]), int(o[begin])
             held.append((a[begin:end].astype(np.int64), b[begin:end].astype(np.int64)))
             begin = end
-        if found:
-            yield out(found)
-    if held and (found := rows(*key, *(np.concatenate(c) for c in zip(*held, strict=True)))):
-        yield out(found)
+        if out:
+            yield batch_of(out)
+    if held:
+        flush(out := [])
+        if out:
+            yield batch_of(out)
 
 
 def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop: int = 8) -> tuple[int, int, int, bool, bool]:
@@ -301,43 +312,44 @@ def align(own: np.ndarray, other: np.ndarray, a: np.ndarray, b: np.ndarray, drop
 
     Between matches on one diagonal words are compared in place; where the diagonal shifts,
     the words before the best switching point are compared on the old one and the rest on the
-    new one.  Both ends are extended until mismatches cost more than ``drop``; a stretch that
-    is then too short for a passage is widened to one if there is one around it.
+    new one.  Both ends are extended until mismatches cost more than ``drop``; where that is
+    too short for a passage, or has too few equal words, the longest passage around it counts.
     """
-    equal = 0
+    flags = []
     for x, y, x2, y2 in zip(a[:-1], b[:-1], a[1:], b[1:], strict=True):
         n = x2 - x
         old = own[x:x2] == _cut(other, y, n)
-        if y2 - y == n:
-            equal += int(old.sum())
-        else:
+        if y2 - y != n:
             new = own[x:x2] == _cut(other, y2 - n, n)
             before = np.concatenate([[0], np.cumsum(old)])
             behind = np.concatenate([[0], np.cumsum(new[::-1])])[::-1]
-            equal += int((before + behind).max())
+            k = int((before + behind).argmax())
+            old = np.concatenate([old[:k], new[k:]])
+        flags.append(old)
     n = min(len(own) - a[-1], len(other) - b[-1])
     after = own[a[-1] : a[-1] + n] == other[b[-1] : b[-1] + n]
-    right, same, more_right = _extend(after, drop)
-    equal += same
+    right, more_right = _extend(after, drop)
     n = min(a[0], b[0])
-    before = (own[a[0] - n : a[0]] == other[b[0] - n : b[0]])[::-1]
-    left, same, more_left = _extend(before, drop)
-    equal += same
-    begin, end = int(a[0] - left), int(a[-1] + right)
-    if PIECE <= end - begin < LEAST:
-        x, y, same = _widen(before[left:], after[right:], end - begin, equal)
-        begin, end, equal = begin - x, end + y, equal + same
-    return begin, end, equal, more_left, more_right
-
-
-def _widen(before: np.ndarray, after: np.ndarray, n: int, equal: int) -> tuple[int, int, int]:
-    """Words to add on either side, up to an equal one, that make a passage of the largest share; zeros if none do."""
-    x, y = (np.append(0, np.flatnonzero(side[:LEAST]) + 1) for side in (before, after))
-    long = n + x[:, None] + y
-    same = equal + np.arange(len(x))[:, None] + np.arange(len(y))
-    share = np.where(long >= LEAST, same / long, 0)
-    i, j = np.unravel_index(int(share.argmax()), share.shape)
-    return (int(x[i]), int(y[j]), int(i + j)) if share[i, j] >= SHARE else (0, 0, 0)
+    before = own[a[0] - n : a[0]] == other[b[0] - n : b[0]]
+    left, more_left = _extend(before[::-1], drop)
+    total = np.concatenate([[0], np.cumsum(np.concatenate([before, *flags, after]))])
+    lo, hi = int(n - left), int(n + a[-1] - a[0] + right)
+    if hi - lo < LEAST or total[hi] - total[lo] < SHARE * (hi - lo):
+        lo, hi = _window(total, max(0, lo - LEAST), min(len(total) - 1, hi + LEAST)) or (lo, hi)
+    return lo + int(a[0] - n), hi + int(a[0] - n), int(total[hi] - total[lo]), more_left, more_right
+
+
+def _window(total: np.ndarray, lo: int, hi: int) -> tuple[int, int] | None:
+    """The longest range of ``LEAST`` words or more within ``[lo, hi)`` of which ``SHARE`` are equal, from counts of equal words before each place."""
+    worth = total[lo : hi + 1] * 100 - round(SHARE * 100) * np.arange(hi + 1 - lo)
+    best = np.maximum.accumulate(worth[::-1])[::-1]  # falls, so the last place that is worth as much as a beginning is found by bisection
+    ends = len(best) - 1 - np.searchsorted(best[::-1], worth, "left")
+    i = int((ends - np.arange(len(ends))).argmax())
+    i, j = lo + i, lo + int(ends[i])
+    if j - i < LEAST:
+        return None
+    equal = np.flatnonzero(np.diff(total[i : j + 1])) + i
+    return (int(equal[0]), int(equal[-1]) + 1) if equal[-1] + 1 - equal[0] >= LEAST else (i, j)
 
 
 def _cut(x: np.ndarray, start: int, n: int) -> np.ndarray:
@@ -349,18 +361,17 @@ def _cut(x: np.ndarray, start: int, n: int) -> np.ndarray:
     return out
 
 
-def _extend(same: np.ndarray, drop: int) -> tuple[int, int, bool]:
-    """How far equal words go, how many of them are equal, and whether more words might have been reached."""
+def _extend(same: np.ndarray, drop: int) -> tuple[int, bool]:
+    """How far equal words go, and whether more words might have been reached."""
     if not len(same):
-        return 0, 0, True
+        return 0, True
     score = np.cumsum(np.where(same, 1, -2))
     top = np.maximum.accumulate(np.maximum(score, 0))
     stop = np.flatnonzero(top - score > drop)
     score = score[: stop[0]] if len(stop) else score
     if not len(score) or score.max() <= 0:
-        return 0, 0, not len(stop)
-    reach = int(score.argmax()) + 1
-    return reach, int(same[:reach].sum()), not len(stop)
+        return 0, not len(stop)
+    return int(score.argmax()) + 1, not len(stop)
 
 
 def _word_rows(batches):
@@ -373,46 +384,60 @@ def _word_rows(batches):
 
 
 STRETCH_ROW = "doc_id long, other_id long, begin long, end long, equal long, other_begin long"
+_STRETCH_NAMES = [x.split()[0] for x in STRETCH_ROW.split(", ")]
+
+
+def _aligned(paths: list[dict], own: np.ndarray, other: np.ndarray, base: int, obase: int, n: int, m: int):
+    """Stretches ``(begin, end, equal, other_begin)`` of a pair, and the chains for which these words do not suffice.
+
+    ``own`` and ``other`` are words from ``base`` and ``obase`` on, of texts of ``n`` and ``m``
+    words.  A chain well inside an earlier, longer one's stretch adds nothing.
+    """
+    known, rows, longer = [], [], []
+    for path in paths:
+        a, b = np.array(path["at"]) - base, np.array(path["other_at"]) - obase
+        if a[-1] >= len(own) or b[-1] >= len(other) or any(lo <= a[0] and a[-1] + PIECE <= hi for lo, hi in known):
+            continue
+        begin, end, equal, left, right = align(own, other, a, b)
+        u, v = len(own) - a[-1], len(other) - b[-1]
+        left &= base > 0 if a[0] < b[0] else obase > 0 if b[0] < a[0] else base > 0 and obase > 0
+        right &= base + len(own) < n if u < v else obase + len(other) < m if v < u else base + len(own) < n and obase + len(other) < m
+        if left or right:
+            longer.append(path)
+        elif end - begin >= PIECE and equal >= SHARE * (end - begin):
+            known.append((begin, end))
+            rows.append((base + begin, base + end, equal, obase + int(b[0] - a[0]) + begin))
+    return rows, longer
 
 
 def _stretches(batches):
-    """Chains with the words around them on both sides, to aligned stretches, or to themselves where these words do not suffice."""
-    names = ("doc_id", "other_id", "at", "other_at", "base", "other_base", "own", "other", "own_words", "other_words")
+    """Pairs with the words around their chains, to aligned stretches, and chains left for whole texts, to themselves."""
+    names = ("doc_id", "other_id", "paths", "base", "other_base", "own", "other", "own_words", "other_words")
+    lists = pa.list_(pa.int32())
     for batch in batches:
         rows = []
-        c = {n: batch.column(n).to_pylist() for n in names}
-        for d, o, x, y, base, obase, own, other, n, m in zip(*(c[k] for k in names), strict=True):
-            own, other = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
-            a, b = np.array(x) - base, np.array(y) - obase
-            begin, end, equal, left, right = align(own, other, a, b)
-            u, v = len(own) - a[-1], len(other) - b[-1]
-            left &= base > 0 if a[0] < b[0] else obase > 0 if b[0] < a[0] else base > 0 and obase > 0
-            right &= base + len(own) < n if u < v else obase + len(other) < m if v < u else base + len(own) < n and obase + len(other) < m
-            if left or right:
-                rows.append((d, o, None, None, None, None, x, y))
-            elif end - begin >= PIECE and equal >= SHARE * (end - begin):
-                rows.append((d, o, base + begin, base + end, equal, obase + int(b[0] - a[0]) + begin, None, None))
-        kinds = [pa.int64()] * 6 + [pa.list_(pa.int32())] * 2
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in STRETCH_ROW.split(", ")] + ["at", "other_at"])
+        columns = [batch.column(x) for x in names]
+        for k in range(batch.num_rows):
+            d, o, paths, base, obase, own, other, n, m = (c[k].as_py() for c in columns)
+            found, longer = _aligned(paths, np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4"), base, obase, n, m)
+            rows += [(d, o, *r, None) for r in found]
+            if longer:
+                rows.append((d, o, None, None, None, None, longer))
+        kinds = [pa.int64()] * 6 + [pa.list_(pa.struct([("at", lists), ("other_at", lists)]))]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [*_STRETCH_NAMES, "paths"])
 
 
 def _whole_stretches(batches):
-    """Pairs of whole texts with their chains, to aligned stretches; a chain well inside an earlier stretch adds nothing."""
+    """Pairs of whole texts with their chains, to aligned stretches."""
+    names = ("doc_id", "other_id", "paths", "own", "other")
     for batch in batches:
         rows = []
-        c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
-        for d, o, paths, own, other in zip(*(c[n] for n in ("doc_id", "other_id", "paths", "own", "other")), strict=True):
+        columns = [batch.column(x) for x in names]
+        for k in range(batch.num_rows):
+            d, o, paths, own, other = (c[k].as_py() for c in columns)
             own, other = np.frombuffer(own, "<u4"), np.frombuffer(other, "<u4")
-            known: list[tuple[int, int]] = []
-            for path in sorted(paths, key=lambda p: (-len(p["at"]), p["at"], p["other_at"])):
-                x, y = np.array(path["at"]), np.array(path["other_at"])
-                if x[-1] >= len(own) or y[-1] >= len(other) or any(lo <= x[0] and x[-1] + PIECE <= hi for lo, hi in known):
-                    continue
-                begin, end, equal, _, _ = align(own, other, x, y)
-                if end - begin >= PIECE and equal >= SHARE * (end - begin):
-                    known.append((begin, end))
-                    rows.append((d, o, begin, end, equal, int(y[0] - x[0]) + begin))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], [x.split()[0] for x in STRETCH_ROW.split(", ")])
+            rows += [(d, o, *r) for r in _aligned(paths, own, other, 0, 0, len(own), len(other))[0]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(6)], _STRETCH_NAMES)
 
 
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, holders: bool = False) -> DataFrame:
@@ -440,7 +465,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         packed = packed.mapInArrow(_finer, SEED_ROW)
     met = packed.mapInArrow(_matches, MATCH_ROW)
     met = met.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
-    linked = scratch.keep(met.mapInArrow(_chain_rows, "doc_id long, other_id long, at array<int>, other_at array<int>"), "chains")
+    linked = scratch.keep(met.mapInArrow(_chain_rows, "doc_id long, other_id long, " + PATHS), "chains")
 
     ids = scratch.keep(linked.select("doc_id").union(linked.select("other_id")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
@@ -448,26 +473,25 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     else:
         held = rows.mapInArrow(_word_rows, "doc_id long, words binary").join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
     held = scratch.keep(held, "words")
-    cuts = linked.withColumns({
-        "base": F.greatest(F.lit(0), F.element_at("at", 1) - PAD), "other_base": F.greatest(F.lit(0), F.element_at("other_at", 1) - PAD),
-        "to": F.element_at("at", -1) + K + PAD, "other_to": F.element_at("other_at", -1) + K + PAD,
-    })
+    first = lambda name: F.greatest(F.lit(0), F.array_min(F.transform("paths", lambda p: p[name][0])) - PAD)
+    last = lambda name: F.array_max(F.transform("paths", lambda p: F.element_at(p[name], -1))) + K + PAD
+    cuts = linked.withColumns({"base": first("at"), "other_base": first("other_at"), "to": last("at"), "other_to": last("other_at")})
     cut = lambda words, base, to: F.substring(F.col(words), F.col(base) * 4 + 1, (F.col(to) - F.col(base)) * 4)
     both = cuts.join(held, "doc_id").withColumns({"own": cut("words", "base", "to"), "own_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "to")
     right = held.select(F.col("doc_id").alias("other_id"), "words")
     both = both.join(right, "other_id").withColumns({"other": cut("words", "other_base", "other_to"), "other_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "other_to")
-    pieces = scratch.keep(both.mapInArrow(_stretches, STRETCH_ROW + ", at array<int>, other_at array<int>"), "stretches")
+    pieces = scratch.keep(both.mapInArrow(_stretches, STRETCH_ROW + ", " + PATHS), "stretches")
     # chains that go on beyond the words beside them, such as those of periodic passages, are aligned over whole texts
-    long = pieces.filter("at is not null").groupBy("doc_id", "other_id").agg(F.collect_list(F.struct("at", "other_at")).alias("paths"))
+    long = pieces.filter("paths is not null").select("doc_id", "other_id", "paths")
     long = long.join(held.withColumnRenamed("words", "own"), "doc_id").join(right.withColumnRenamed("words", "other"), "other_id")
-    aligned = pieces.filter("at is null").drop("at", "other_at").unionByName(long.mapInArrow(_whole_stretches, STRETCH_ROW))
+    aligned = pieces.filter("paths is null").drop("paths").unionByName(long.mapInArrow(_whole_stretches, STRETCH_ROW))
     aligned = scratch.keep(aligned, "aligned")
     scratch.drop(linked, ids, held, pieces)
     found = aligned.drop("other_begin")
     if holders:
         # of the stretches that begin at one place of a holder the longest stays, however many documents hold it
-        last = F.struct((F.col("other_begin") + F.col("end") - F.col("begin")).alias("end"), "equal")
-        of = aligned.filter("doc_id <> other_id").groupBy(F.col("other_id").alias("doc_id"), F.col("other_begin").alias("begin")).agg(F.max(last).alias("m"), F.min("doc_id").alias("other_id"))
+        longest = F.struct((F.col("other_begin") + F.col("end") - F.col("begin")).alias("end"), "equal")
+        of = aligned.filter("doc_id <> other_id").groupBy(F.col("other_id").alias("doc_id"), F.col("other_begin").alias("begin")).agg(F.max(longest).alias("m"), F.min("doc_id").alias("other_id"))
         found = found.unionByName(of.select("doc_id", "other_id", "begin", "m.end", "m.equal"))
     # stretches of a document that touch or overlap make one passage; their number is bounded by its length
     of = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("begin", "end", "other_id", "equal"))).alias("p"))
