@@ -7,27 +7,36 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..shipping import ship
 from .ndarray import NdArray
 
 
-def page_rank(links: DataFrame, pages: DataFrame, steps: int = 10, damping: float = 0.85, checkpoint_every: int = 0) -> DataFrame:
+def page_rank(links: DataFrame, pages: DataFrame, steps: int = 10, damping: float = 0.85) -> DataFrame:
     """``page, rank`` after some steps; the rank of pages without links is spread over all.
 
-    ``links`` has ``src, dst``; ``pages`` has ``page``.  Out-degrees are joined once; each step is
-    one join and one partial-then-final sum.
+    ``links`` has ``src, dst``; ``pages`` has distinct ``page``.  Out-degrees are joined once, and pages
+    without links get one to nowhere, so a step is one join and one partial-then-final sum.
+    Its sums are written and reread: the plan of a step does not grow with their number.
     """
+    spark = links.sparkSession
+    base = scratch.folder(spark, "rank")
     n = pages.count()
     degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("deg"))
-    edges = links.join(degree, "src")
-    ranks = pages.select("page", F.lit(1.0 / n).alias("rank"))
+    none = pages.join(degree, pages["page"] == degree["src"], "left_anti")
+    nowhere = F.lit(None).cast(links.schema["dst"].dataType)
+    edges = links.join(degree, "src").select("src", "dst", "deg").union(none.select(F.col("page").alias("src"), nowhere.alias("dst"), F.lit(1).cast("long").alias("deg")))
+    edges = scratch.keep(edges.groupBy("src", "dst", "deg").agg((F.count(F.lit(1)) / F.col("deg")).alias("share")).select("src", "dst", "share"), f"{base}/edges")
+    pages = scratch.keep(pages.select("page"), f"{base}/pages")
+    ranks = pages.withColumn("rank", F.lit(1.0 / n))
     for k in range(steps):
-        moved = edges.join(ranks, edges["src"] == ranks["page"]).groupBy("dst").agg(F.sum(F.col("rank") / F.col("deg")).alias("r"))
-        lost = ranks.join(degree, ranks["page"] == degree["src"], "left_anti").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        ranks = pages.join(moved, pages["page"] == moved["dst"], "left").crossJoin(F.broadcast(lost))  # one row
-        ranks = ranks.select("page", (F.lit((1 - damping) / n) + damping * (F.coalesce("r", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if checkpoint_every and (k + 1) % checkpoint_every == 0:
-            ranks = ranks.checkpoint()
+        moved = edges.join(ranks, edges["src"] == ranks["page"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("r"))
+        moved = scratch.keep(moved, f"{base}/step{k}")
+        if k:
+            scratch.delete(spark, f"{base}/step{k - 1}")
+        lost = moved.filter("dst is null").agg(F.coalesce(F.sum("r"), F.lit(0.0))).first()[0]
+        ranks = pages.join(moved, pages["page"] == moved["dst"], "left")
+        ranks = ranks.select("page", (F.lit((1 - damping) / n + damping * lost / n) + damping * F.coalesce("r", F.lit(0.0))).alias("rank"))
     return ranks
 
 

@@ -216,14 +216,15 @@ class NdArray:
     def dft(self, inverse: bool = False) -> DataFrame:
         """Discrete Fourier transform of the innermost dimension: rows ``(.., k, re, im)``.
 
-        The cells ``v`` are real.  Each cell goes to the n results of its row by an explode;
-        sums are partial before the shuffle.
+        The cells ``v`` are real, or have an imaginary part in a column ``w`` beside it.  Each cell
+        goes to the n results of its row by an explode; sums are partial before the shuffle.
         """
         n, last = self.shape[-1], self.ix[-1]
         turn = (2 if inverse else -2) * math.pi / n
         ks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
         angle = F.pmod(F.col(last) * F.col("k"), F.lit(n)) * turn
-        out = self.df.withColumn("k", ks).groupBy(*self.ix[:-1], "k").agg(F.sum(F.col("v") * F.cos(angle)).alias("re"), F.sum(F.col("v") * F.sin(angle)).alias("im"))
+        v, w = F.col("v"), F.col("w") if "w" in self.df.columns else F.lit(0.0)
+        out = self.df.withColumn("k", ks).groupBy(*self.ix[:-1], "k").agg(F.sum(v * F.cos(angle) - w * F.sin(angle)).alias("re"), F.sum(v * F.sin(angle) + w * F.cos(angle)).alias("im"))
         return out.withColumns({"re": F.col("re") / n, "im": F.col("im") / n}) if inverse else out
 
     def center(self) -> NdArray:
@@ -257,6 +258,44 @@ def fft_rows(df: DataFrame, by: list[str], at: str, re: str, im: str, mode: str
     return df.groupBy(*by).applyInPandas(run, schema)
 
 
+def fft_arrays(df: DataFrame, re: str, im: str | None = None, mode: str = "forward") -> DataFrame:
+    """Fast transform of array columns, in place: the columns ``re`` and ``im``, beside the others of ``df``.
+
+    All arrays of a batch of one length are transformed at once; nothing is shuffled.  Lengths
+    must be powers of two (0 and 1 included); a null array stays null.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    others = [f for f in df.schema.fields if f.name not in ("re", "im") and f.name not in (re, im)]
+    names = [f.name for f in others]
+    kind = pa.list_(pa.float64())
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "re array<double>, im array<double>"])
+
+    def run(batches):
+        for batch in batches:
+            x = batch.column("__re").to_pylist()
+            y = batch.column("__im").to_pylist() if im else [None] * len(x)
+            out_re, out_im = [None] * len(x), [None] * len(x)
+            by: dict[int, list[int]] = {}
+            for i, v in enumerate(x):
+                if v is not None:
+                    by.setdefault(len(v), []).append(i)
+            for n, rows in by.items():
+                if n & (n - 1):
+                    raise ValueError(f"length {n} is no power of two")
+                z = np.array([x[i] for i in rows], float).reshape(len(rows), n)
+                z = z + 1j * np.array([y[i] if y[i] is not None else [0.0] * n for i in rows], float).reshape(len(rows), n)
+                if n:
+                    z = np.fft.fft(z) if mode == "forward" else np.fft.ifft(z) * (1 if mode == "inverse" else n)
+                for k, i in enumerate(rows):
+                    out_re[i], out_im[i] = z[k].real, z[k].imag
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out_re, kind), pa.array(out_im, kind)], [*names, "re", "im"])
+
+    given = [F.col(re).cast("array<double>").alias("__re"), *([F.col(im).cast("array<double>").alias("__im")] if im else [])]
+    return df.select(*names, *given).mapInArrow(run, schema)
+
+
 def fft_grid(df: DataFrame, axes: list[str], re: str, im: str | None, mode: str = "forward") -> DataFrame:
     """Fast transform of a grid along each of its axes in turn; every extent is a power of two."""
     out = df.select(*axes, F.col(re).cast("double").alias("re"), (F.col(im).cast("double") if im else F.lit(0.0)).alias("im"))

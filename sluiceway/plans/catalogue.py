@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,39 +10,16 @@ from ..functions import arrays as A
 from ..functions import formats as V
 from ..functions import scalars as S
 from ..operators import graph, segmented, stateful, tags
-from ..operators.ndarray import NdArray, fft_rows, lehmer
+from ..operators.ndarray import NdArray, fft_arrays, lehmer
 from . import query as dsl
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-LINE_ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-LINE_SQL = ", ".join(LINE_ORDER)
-
-
-def register(sql: str | None = None):
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return put
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import LINE_ORDER, LINE_SQL, ORACLE, QUERIES, register  # noqa: F401
+from .registry import rounded as _round
+from .registry import table as _t
 
 def _events(spark: SparkSession, sf_dir: str) -> Flow:
     return Flow(_t(spark, sf_dir, "events"), "user_id", ("ts", "event_id"))
 
 
-def _round(c, n: int = 4):
-    return F.round(F.col(c) if isinstance(c, str) else c, n)
-
-
 # --- the query language ------------------------------------------------------------------
 @register("""SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base,
     round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n
@@ -465,10 +440,12 @@ def ragged_transpose(spark, sf_dir):
     return out.select("g", F.col("col").cast("long").alias("col"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("vs"))
 
 
-@register("SELECT doc_id, len(string_split(text, chr(10))) AS rows_, CAST(list_sum(list_transform(string_split(text, chr(10)), lambda x: len(string_split(x, ' ')))) AS BIGINT) AS fields FROM documents WHERE text <> '' AND NOT suffix(text, chr(10))")
+@register("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), b AS (SELECT doc_id, t, CASE WHEN suffix(t, chr(10)) THEN left(t, length(t) - 1) ELSE t END AS body FROM d)
+    SELECT doc_id, CAST(CASE WHEN t = '' THEN 0 ELSE len(string_split(body, chr(10))) END AS BIGINT) AS rows_,
+    CAST(CASE WHEN t = '' THEN 0 ELSE list_sum(list_transform(string_split(body, chr(10)), lambda x: len(string_split(x, ' ')))) END AS BIGINT) AS fields FROM b""")
 def dice_text(spark, sf_dir):
-    d = _t(spark, sf_dir, "documents").filter((F.col("text") != "") & ~F.col("text").endswith("\n")).select("doc_id", A.dice_sep("text", " ", "\n").alias("r"))
-    return d.select("doc_id", F.size("r").cast("long").alias("rows_"), F.aggregate("r", F.lit(0).cast("decimal(38,0)"), lambda a, x: (a + F.size(x)).cast("decimal(38,0)")).cast("long").alias("fields"))
+    d = _t(spark, sf_dir, "documents").select("doc_id", A.dice_sep(F.coalesce("text", F.lit("")), " ", "\n").alias("r"))
+    return d.select("doc_id", F.size("r").cast("long").alias("rows_"), F.aggregate("r", F.lit(0).cast("long"), lambda a, x: a + F.size(x)).alias("fields"))
 
 
 @register("SELECT doc_id, len(regexp_extract_all(text, '[^.]*[.]|[^.]+')) AS pieces, trim(regexp_extract(text, '[^.]*[.]|[^.]+')) AS head FROM documents")
@@ -484,22 +461,26 @@ def trim_text(spark, sf_dir):
 
 
 # --- dense arrays ----------------------------------------------------------------------------
-MATRIX = "WITH m AS (SELECT vec_id AS i, CAST(j AS BIGINT) AS j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, unnest(range(24)) AS r(j) WHERE vec_id < 32) "
+MATRIX = "WITH m AS (SELECT vec_id AS i, CAST(j AS BIGINT) AS j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, unnest(range(64)) AS r(j)), s AS (SELECT max(vec_id) + 1 AS n FROM embeddings) "
 
 
 def _matrix(spark, sf_dir) -> NdArray:
-    e = _t(spark, sf_dir, "embeddings").filter("vec_id < 32").select(F.col("vec_id").alias("i0"), F.posexplode(F.slice("embedding", 1, 24)).alias("i1", "v"))
-    return NdArray(e.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (32, 24))
+    """All embeddings: a row for each vector, a column for each entry."""
+    e = _t(spark, sf_dir, "embeddings")
+    rows, columns = e.agg(F.max("vec_id") + 1, F.max(F.size("embedding"))).first()
+    cells = e.select(F.col("vec_id").alias("i0"), F.posexplode("embedding").alias("i1", "v"))
+    return NdArray(cells.select("i0", F.col("i1").cast("long").alias("i1"), F.col("v").cast("double").alias("v")), (rows, columns))
 
 
 def _cells(a: NdArray, places: int = 6) -> DataFrame:
     return a.df.select(*a.ix, _round("v", places).alias("v"))
 
 
-@register(MATRIX + "SELECT a.i AS i0, b.i AS i1, round(sum(a.v * b.v), 4) AS v FROM m a JOIN m b ON a.j = b.j GROUP BY 1, 2")
+@register(MATRIX + "SELECT a.j AS i0, b.j AS i1, round(sum(a.v * b.v), 4) AS v FROM m a JOIN m b ON a.i = b.i GROUP BY 1, 2")
 def matrix_product(spark, sf_dir):
+    """The products of all pairs of columns, each over all rows."""
     m = _matrix(spark, sf_dir)
-    return _cells(m.mmult(m.transpose()), 4)
+    return _cells(m.transpose().mmult(m), 4)
 
 
 @register(MATRIX + "SELECT j AS i0, i AS i1, round(v, 6) AS v FROM m")
@@ -522,12 +503,13 @@ def array_fold_all(spark, sf_dir):
     return _matrix(spark, sf_dir).fold_all(total=_round(F.sum("v"), 3), top=_round(F.max("v"), 6), n=F.count(F.lit(1)))
 
 
-@register(MATRIX + "SELECT (i * 24 + j) // 48 AS i0, (i * 24 + j) % 48 AS i1, round(v, 6) AS v FROM m")
+@register(MATRIX + "SELECT (i * 64 + j) // 32 AS i0, (i * 64 + j) % 32 AS i1, round(v, 6) AS v FROM m")
 def array_reshape(spark, sf_dir):
-    return _cells(_matrix(spark, sf_dir).reshape((16, 48)))
+    m = _matrix(spark, sf_dir)
+    return _cells(m.reshape((m.shape[0] * m.shape[1] // 32, 32)))
 
 
-@register(MATRIX + "SELECT i AS i0, j AS i1, round(v, 6) AS v FROM m UNION ALL SELECT i, j + 24, round(2 * v, 6) FROM m")
+@register(MATRIX + "SELECT i AS i0, j AS i1, round(v, 6) AS v FROM m UNION ALL SELECT i, j + 64, round(2 * v, 6) FROM m")
 def array_append(spark, sf_dir):
     m = _matrix(spark, sf_dir)
     return _cells(m.append(m.map(lambda v: 2 * v)))
@@ -548,16 +530,18 @@ def array_extend(spark, sf_dir):
     return _cells(_matrix(spark, sf_dir).extend(3))
 
 
-@register(MATRIX + "SELECT 31 - i AS i0, (j * 5) % 24 AS i1, round(v, 6) AS v FROM m")
+@register(MATRIX + "SELECT n - 1 - i AS i0, (j * 13) % 64 AS i1, round(v, 6) AS v FROM m, s")
 def array_backpermute(spark, sf_dir):
-    """Gather: the output cell (i, j) comes from (31 - i, 5 j mod 24), five being its own inverse mod 24."""
-    return _cells(_matrix(spark, sf_dir).backpermute((32, 24), lambda i, j: (31 - i, F.pmod(j * 5, F.lit(24)))))
+    """Gather: the output cell (i, j) comes from (n - 1 - i, 5 j mod 64); 13 is the inverse of five mod 64."""
+    m = _matrix(spark, sf_dir)
+    return _cells(m.backpermute(m.shape, lambda i, j: (m.shape[0] - 1 - i, F.pmod(j * 5, F.lit(64)))))
 
 
-@register(MATRIX + "SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, round(coalesce(v, -1), 6) AS v FROM unnest(range(36)) AS r(a) CROSS JOIN unnest(range(24)) AS s(b) LEFT JOIN m ON i = a AND j = b")
+@register(MATRIX + ", a AS (SELECT unnest(range(n + 4)) AS a FROM s) SELECT CAST(a AS BIGINT) AS i0, CAST(b AS BIGINT) AS i1, round(coalesce(v, -1), 6) AS v FROM a CROSS JOIN unnest(range(64)) AS r(b) LEFT JOIN m ON i = a AND j = b")
 def array_gather_default(spark, sf_dir):
-    fill = NdArray.generate(spark, (36, 24), lambda i, j: F.lit(-1.0))
-    return _cells(_matrix(spark, sf_dir).backpermute((36, 24), lambda i, j: (i, j), fill))
+    m = _matrix(spark, sf_dir)
+    shape = (m.shape[0] + 4, m.shape[1])
+    return _cells(m.backpermute(shape, lambda i, j: (i, j), NdArray.generate(spark, shape, lambda i, j: F.lit(-1.0))))
 
 
 @register(MATRIX + "SELECT i AS i0, 2 * j AS i1, round(v, 6) AS v FROM m UNION ALL SELECT i, 2 * j + 1, round(v * v, 6) FROM m")
@@ -581,7 +565,7 @@ def stencil_const(spark, sf_dir):
     return _cells(_matrix(spark, sf_dir).stencil(LAPLACE, "const", 2.0), 5)
 
 
-@register(MATRIX + f"SELECT a.i AS i0, a.j AS i1, round(sum(c * b.v), 5) AS v FROM m a CROSS JOIN {STENCIL} JOIN m b ON b.i = greatest(0, least(31, a.i + di)) AND b.j = greatest(0, least(23, a.j + dj)) GROUP BY 1, 2")
+@register(MATRIX + f"SELECT a.i AS i0, a.j AS i1, round(sum(c * b.v), 5) AS v FROM m a CROSS JOIN s CROSS JOIN {STENCIL} JOIN m b ON b.i = greatest(0, least(n - 1, a.i + di)) AND b.j = greatest(0, least(63, a.j + dj)) GROUP BY 1, 2")
 def stencil_clamp(spark, sf_dir):
     return _cells(_matrix(spark, sf_dir).stencil(LAPLACE, "clamp"), 5)
 
@@ -591,7 +575,7 @@ def stencil_fixed(spark, sf_dir):
     return _cells(_matrix(spark, sf_dir).stencil(LAPLACE, "fixed", 7.0), 5)
 
 
-@register(MATRIX + "SELECT i AS i0, CAST(k AS BIGINT) AS k, round(sum(v * cos(-2 * pi() * ((j * k) % 24) / 24)), 4) + 0.0 AS re, round(sum(v * sin(-2 * pi() * ((j * k) % 24) / 24)), 4) + 0.0 AS im FROM m, unnest(range(24)) AS r(k) GROUP BY 1, 2")
+@register(MATRIX + "SELECT i AS i0, CAST(k AS BIGINT) AS k, round(sum(v * cos(-2 * pi() * ((j * k) % 64) / 64)), 4) + 0.0 AS re, round(sum(v * sin(-2 * pi() * ((j * k) % 64) / 64)), 4) + 0.0 AS im FROM m, unnest(range(64)) AS r(k) GROUP BY 1, 2")
 def dft_rows(spark, sf_dir):
     out = _matrix(spark, sf_dir).dft()
     return out.select("i0", "k", (_round("re") + 0.0).alias("re"), (_round("im") + 0.0).alias("im"))
@@ -599,8 +583,9 @@ def dft_rows(spark, sf_dir):
 
 @register("WITH m AS (SELECT vec_id AS i, CAST(j AS BIGINT) AS j, CAST(embedding[j + 1] AS DOUBLE) AS v FROM embeddings, unnest(range(64)) AS r(j)) SELECT i AS vec_id, CAST(k AS BIGINT) AS at, round(sum(v * cos(-2 * pi() * ((j * k) % 64) / 64)), 3) + 0.0 AS re FROM m, unnest(range(64)) AS r(k) GROUP BY 1, 2")
 def fft_embeddings(spark, sf_dir):
-    rows = _t(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("at", "re")).select("vec_id", F.col("at").cast("long").alias("at"), F.col("re").cast("double").alias("re"))
-    return fft_rows(rows, ["vec_id"], "at", "re", None).select("vec_id", "at", (_round("re", 3) + 0.0).alias("re"))
+    """Each array is transformed where it is: no shuffle."""
+    out = fft_arrays(_t(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", F.posexplode("re").alias("at", "re"))
+    return out.select("vec_id", F.col("at").cast("long").alias("at"), (_round("re", 3) + 0.0).alias("re"))
 
 
 @register(MATRIX + "SELECT i AS i0, j AS i1, round(CASE WHEN (i + j) % 2 = 1 THEN -v ELSE v END, 6) AS v FROM m")
@@ -655,19 +640,22 @@ def format_quoted(spark, sf_dir):
 
 
 # --- workloads ----------------------------------------------------------------------------------
-@register("""WITH pages AS (SELECT DISTINCT user_id AS page FROM events), links AS (SELECT user_id AS src, (user_id * 7 + event_id) % 60 + 1 AS dst FROM events WHERE user_id % 5 <> 0),
-    pages_ AS (SELECT src AS page FROM links UNION SELECT dst FROM links UNION SELECT page FROM pages), n AS (SELECT count(*) AS n FROM pages_), e AS (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM links),
-    r0 AS (SELECT page, 1.0 / n AS rank FROM pages_, n),
-    r1 AS (SELECT p.page, 0.15 / n + 0.85 * (coalesce(m.r, 0) + lost / n) AS rank FROM pages_ p CROSS JOIN n LEFT JOIN (SELECT dst, sum(rank / deg) AS r FROM e JOIN r0 ON src = page GROUP BY dst) m ON m.dst = p.page
-           CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r0 WHERE page NOT IN (SELECT src FROM links))),
-    r2 AS (SELECT p.page, 0.15 / n + 0.85 * (coalesce(m.r, 0) + lost / n) AS rank FROM pages_ p CROSS JOIN n LEFT JOIN (SELECT dst, sum(rank / deg) AS r FROM e JOIN r1 ON src = page GROUP BY dst) m ON m.dst = p.page
-           CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r1 WHERE page NOT IN (SELECT src FROM links)))
-    SELECT page, round(rank, 8) AS rank FROM r2""")
+RANK_STEPS = 10
+_RANK_STEP = """, r{k} AS MATERIALIZED (SELECT p.page, 0.15 / n + 0.85 * (coalesce(m.r, 0) + lost / n) AS rank FROM pages p CROSS JOIN n
+    LEFT JOIN (SELECT dst, sum(rank / deg) AS r FROM e JOIN r{j} ON src = page GROUP BY dst) m ON m.dst = p.page CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{j} WHERE page NOT IN (SELECT src FROM e)))"""
+
+
+@register("""WITH links AS (SELECT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION ALL SELECT -l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'R'),
+    pages AS MATERIALIZED (SELECT p_partkey AS page FROM part UNION SELECT -s_suppkey FROM supplier UNION SELECT src FROM links UNION SELECT dst FROM links), n AS MATERIALIZED (SELECT count(*) AS n FROM pages),
+    e AS MATERIALIZED (SELECT src, dst, count(*) OVER (PARTITION BY src) AS deg FROM links), r0 AS MATERIALIZED (SELECT page, 1.0 / n AS rank FROM pages, n)"""
+    + "".join(_RANK_STEP.format(k=k, j=k - 1) for k in range(1, RANK_STEPS + 1)) + f" SELECT page, round(rank, 9) AS rank FROM r{RANK_STEPS}")
 def page_rank(spark, sf_dir):
-    e = _t(spark, sf_dir, "events")
-    links = e.filter("user_id % 5 <> 0").select(F.col("user_id").alias("src"), ((F.col("user_id") * 7 + F.col("event_id")) % 60 + 1).alias("dst"))
-    pages = links.select(F.col("src").alias("page")).union(links.select("dst")).union(e.select("user_id")).distinct()
-    return graph.page_rank(links, pages, steps=2).select("page", _round("rank", 8).alias("rank"))
+    """Parts link to their suppliers, and suppliers to the parts that came back; those without links are dangling."""
+    line = _t(spark, sf_dir, "lineitem")
+    links = line.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst")).union(line.filter("l_returnflag = 'R'").select(-F.col("l_suppkey"), "l_partkey"))
+    named = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("page")).union(_t(spark, sf_dir, "supplier").select(-F.col("s_suppkey")))
+    pages = named.union(links.select("src")).union(links.select("dst")).distinct()
+    return graph.page_rank(links, pages, steps=RANK_STEPS).select("page", _round("rank", 9).alias("rank"))
 
 
 @register("SELECT l_orderkey AS row, round(sum(l_quantity * p_retailprice), 2) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
