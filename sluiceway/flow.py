@@ -3,11 +3,14 @@
 A ``Flow`` is a DataFrame with a bucket (which stream) and an order within it.  The order
 is a declared key and costs nothing; dense positions are made only for operators that
 need them, by a window that is partitioned by bucket, or by counts and offsets of key
-ranges where there is one stream.
+ranges where there is one stream.  Neighbours, prefix aggregates and all operators made of
+them work alike: a single stream is cut into key ranges, and a row for each range carries
+what the ranges before it come to.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -65,15 +68,65 @@ class Flow:
         if self.bucket:
             out = self.df.withColumn(name, (F.row_number().over(self.window()) - 1).cast("long"))
             return replace(self, df=out, order=(name,))
-        cut = self.df.withColumn("__part", self._range())
-        inner = Window.partitionBy("__part").orderBy(*self.order)
+        cut = self._cut()
         sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-        # a row for each range: as many as there are shuffle partitions at most
         offsets = sizes.select("__part", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).alias("__off"))
-        out = cut.withColumn("__row", F.row_number().over(inner)).join(F.broadcast(offsets), "__part")
+        out = cut.withColumn("__row", F.row_number().over(self._within())).join(F.broadcast(offsets), "__part")  # a row for each range
         out = out.withColumn(name, (F.col("__row") - 1 + F.col("__off")).cast("long"))
         return replace(self, df=out.drop("__part", "__row", "__off"), order=(name,))
 
+    def _cut(self) -> DataFrame:
+        """The rows of a single stream with ``__part``, their key range; of dense positions it follows without a look at the data."""
+        part = F.call_function("div", F.col(POS), F.lit(RANGE_ROWS)) if self.order == (POS,) else self._range()
+        return self.df.withColumn("__part", part)
+
+    def _within(self):
+        return Window.partitionBy("__part").orderBy(*self.order)
+
+    def previous(self, *columns: str) -> DataFrame:
+        """The rows with ``__first``, whether each is the first of its stream, and ``__before``, a struct of the columns of the one before."""
+        now = F.struct(F.lit(True).alias("__there"), *columns)
+        if self.bucket:
+            out = self.df.withColumn("__before", F.lag(now).over(self.window()))
+        else:
+            cut = self._cut()
+            # of each range the last row; there are as many as ranges
+            last = cut.groupBy("__part").agg(F.max_by(now, F.struct(*self.order)).alias("__l"))
+            carried = last.select("__part", F.lag("__l").over(Window.partitionBy(F.lit(0)).orderBy("__part")).alias("__c"))
+            out = cut.withColumn("__before", F.lag(now).over(self._within())).join(F.broadcast(carried), "__part")
+            out = out.withColumn("__before", F.coalesce("__before", "__c")).drop("__part", "__c")
+        return out.withColumn("__first", F.col("__before").isNull())
+
+    def running(self, inclusive: bool = True, part: Column | None = None, **aggregates: Column) -> DataFrame:
+        """The rows with prefix aggregates, up to each row or before it.
+
+        In a single stream ``sum``, ``count``, ``min`` and ``max`` of a column or expression are
+        carried over key ranges, which may be given as ``part``; any other aggregate needs the
+        whole stream in one task.
+        """
+        end = Window.currentRow if inclusive else -1
+        kinds = {n: _kind_of(c) for n, c in aggregates.items()}
+        if self.bucket or not all(kinds.values()):
+            w = self.window().rowsBetween(Window.unboundedPreceding, end)
+            return self.df.withColumns({n: c.over(w) for n, c in aggregates.items()})
+        cut = self._cut() if part is None else self.df.withColumn("__part", part)
+        totals = cut.groupBy("__part").agg(*(c.alias(f"__t_{n}") for n, c in aggregates.items()))
+        before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        carry = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+        carried = totals.select("__part", *(carry[kinds[n]](f"__t_{n}").over(before).alias(f"__c_{n}") for n in aggregates))  # a row for each range
+        w = self._within().rowsBetween(Window.unboundedPreceding, end)
+        out = cut.withColumns({n: c.over(w) for n, c in aggregates.items()}).join(F.broadcast(carried), "__part")
+
+        def both(n: str) -> Column:
+            local, c = F.col(n), F.col(f"__c_{n}")
+            if kinds[n] == "count":
+                return local + F.coalesce(c, F.lit(0))
+            if kinds[n] == "sum":
+                return F.when(local.isNull(), c).when(c.isNull(), local).otherwise(local + c)
+            return F.least(local, c) if kinds[n] == "min" else F.greatest(local, c)
+
+        return out.withColumns({n: both(n) for n in aggregates}).drop("__part", *(f"__c_{n}" for n in aggregates))
+
     def _range(self) -> Column:
         """The number of the key range of a row: a balanced tree of comparisons with sampled bounds."""
         rows = self.df.count()
@@ -143,9 +196,17 @@ class Flow:
         return Flow(self.df, None, (self.bucket, *self.order)) if self.bucket else self
 
     def head(self, n: int) -> tuple[Flow, Flow]:
-        """The first n elements of each stream, and the rest."""
-        at = self.indexed()
-        return at.filter(F.col(POS) < n), at.filter(F.col(POS) >= n)
+        """The first n elements of each stream, and the rest.
+
+        Tasks keep the first n of each stream that they see before anything is shuffled.
+        """
+        if self.bucket:
+            first = self.df.withColumn("__r", F.row_number().over(self.window())).filter(F.col("__r") <= n)
+            first = first.withColumn(POS, (F.col("__r") - 1).cast("long")).drop("__r")
+        else:
+            first = replace(self, df=self.df.orderBy(*self.order).limit(n))
+            first = first.df.withColumn(POS, (F.row_number().over(first.window()) - 1).cast("long"))  # n rows
+        return replace(self, df=first, order=(POS,)), self.indexed().filter(F.col(POS) >= n)
 
     def prepend(self, values: DataFrame) -> Flow:
         """Elements before those of each stream; ``values`` has the value columns and a position column ``_pos``."""
@@ -179,5 +240,17 @@ class Flow:
 
     def scan(self, **running: Column) -> Flow:
         """Inclusive prefix aggregates."""
-        w = self.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return replace(self, df=self.df.withColumns({n: c.over(w) for n, c in running.items()}))
+        return replace(self, df=self.running(**running))
+
+
+def _kind_of(c: Column) -> str | None:
+    """The aggregate that a column is a plain call of, if partial results of it can be carried."""
+    found = re.fullmatch(r"Column<'(sum|count|min|max)\((.*)\)'>", str(c), re.DOTALL)
+    if not found:
+        return None
+    depth = 0
+    for x in found[2]:
+        depth += (x == "(") - (x == ")")
+        if depth < 0:
+            return None
+    return found[1]

@@ -9,18 +9,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..flow import POS, Flow
+from ..flow import POS, RANGE_ROWS, Flow
 
 
 def _islands(flow: Flow, *keys: str) -> DataFrame:
     """The rows with ``__run``, the number of the run of equal keys that each belongs to."""
-    w = flow.window()
-    change = F.lit(False)
+    change = F.col("__first")
     for k in keys:
-        change = change | ~F.col(k).eqNullSafe(F.lag(k).over(w))
-    start = F.when(F.row_number().over(w) == 1, True).otherwise(change)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return flow.df.withColumn("__start", start.cast("long")).withColumn("__run", F.sum("__start").over(running)).drop("__start")
+        change = change | ~F.col(k).eqNullSafe(F.col("__before")[k])
+    marked = flow.previous(*keys).withColumn("__start", change.cast("long")).drop("__before", "__first")
+    return replace(flow, df=marked).running(__run=F.sum("__start")).drop("__start")
 
 
 def groups(flow: Flow, key: str, length: str = "len") -> Flow:
@@ -78,22 +76,33 @@ def folds(segments: Flow, values: Flow, name: str, length: str, **aggregates: tu
 
     ``aggregates`` maps a name to (aggregate, result of an empty segment).  Values are laid
     out one segment after another; an incomplete last segment yields nothing, and empty
-    segments yield the neutral result.  Segment bounds become rows per position by
-    exploding, so the join is an equi-join on positions.
+    segments yield the neutral result.  Beginnings of segments and values are sorted together
+    by position, in ranges of positions, and each value takes the last segment begun.
     """
     seg = segments.indexed() if segments.order != (POS,) else segments
     val = values.indexed() if values.order != (POS,) else values
     keys = seg.keys
-    size = F.col(length).cast("long")
-    upto = seg.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = seg.df.select(*keys, F.col(POS).alias("__seg"), name, size.alias("__len"), F.sum(size).over(upto).alias("__end"))
-    places = s.filter("__len > 0").select(*keys, "__seg", F.explode(F.sequence(F.col("__end") - F.col("__len"), F.col("__end") - 1)).alias(POS))
+    sized = seg.df.select(*keys, POS, name, F.col(length).cast("long").alias("__len"))
+    s = replace(seg, df=sized).running(__end=F.sum("__len")).withColumnRenamed(POS, "__seg")
     v = val.df.withColumnRenamed(val.bucket, keys[0]) if val.bucket and keys and val.bucket != keys[0] else val.df
-    got = places.join(v, [*keys, POS]).groupBy(*keys, "__seg").agg(F.count(F.lit(1)).alias("__got"), *(a.alias(n) for n, (a, _) in aggregates.items()))
+    v = v.select(*keys, F.col(POS).alias("__at"), *(c for c in v.columns if c not in (*keys, POS)))
+    begins = s.filter("__len > 0").select(*keys, (F.col("__end") - F.col("__len")).alias("__at"), F.struct(F.col("__seg").alias("seg"), F.col("__end").alias("end")).alias("__begun"))
+    both = v.withColumn("__begun", F.lit(None).cast("struct<seg:bigint,end:bigint>")).unionByName(begins, allowMissingColumns=True)
+    # a segment begins before the value at its place; the numbers of segments rise, so the last one begun is the largest
+    placed = Flow(both.withColumns({"__value": F.col("__begun").isNull(), POS: F.col("__at")}), seg.bucket, (POS, "__value"))
+    placed = _ranged_running(placed, __of=F.max("__begun")).filter(f"__value and {POS} < __of.end").withColumn("__seg", F.col("__of.seg"))
+    got = placed.groupBy(*keys, "__seg").agg(F.count(F.lit(1)).alias("__got"), *(a.alias(n) for n, (a, _) in aggregates.items()))
     out = s.join(got, [*keys, "__seg"], "left").filter(F.coalesce("__got", F.lit(0)) == F.col("__len"))
     return out.select(*keys, F.col("__seg").alias(POS), name, *(F.when(F.col("__len") == 0, z).otherwise(F.col(n)).alias(n) for n, (_, z) in aggregates.items()))
 
 
+def _ranged_running(flow: Flow, **aggregates: Column) -> DataFrame:
+    """Prefix aggregates of a flow whose first key is a dense position, which gives the key ranges."""
+    if flow.bucket:
+        return flow.running(**aggregates)
+    return flow.running(part=F.call_function("div", F.col(POS), F.lit(RANGE_ROWS)), **aggregates)
+
+
 def replicates(flow: Flow, count: str) -> Flow:
     """Each element as often as ``count`` says."""
     n = F.greatest(F.col(count), F.lit(0)).cast("int")
@@ -107,26 +116,35 @@ def concat(flow: Flow, array: str, name: str = "x") -> Flow:
     return replace(flow, df=flow.df.select(*flow.keys, *flow.order, F.posexplode(array).alias("_at", name)), order=(*flow.order, "_at"))
 
 
+def _pieces(flow: Flow, end: Column, **more: Column) -> Flow:
+    """The flow with positions, ``__seg``, the number of elements before each for which ``end`` holds, and ``__from``, where that piece begins."""
+    at = flow if flow.order == (POS,) else replace(flow.indexed(), order=(POS,))
+    marked = replace(at, df=at.df.withColumn("__ends", F.coalesce(end, F.lit(False)).cast("long")))
+    begun = replace(at, df=marked.previous("__ends"))
+    begins = F.when(F.col("__first") | (F.col("__before")["__ends"] == 1), F.col(POS))
+    begun = replace(at, df=begun.df.withColumns({"__begins": begins, "__one": begins.isNotNull().cast("long"), **more}).drop("__before", "__first"))
+    out = begun.running(__seg=F.sum("__one"), __from=F.max("__begins"), **{n: F.max(n) for n in more})
+    return replace(at, df=out.withColumn("__seg", F.col("__seg") - 1).drop("__ends", "__begins", "__one"))
+
+
+def _gathered(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The values of each group, in order, as an array."""
+    got = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(POS, F.col(value).alias("__v")))).alias("__a"))
+    return got.withColumn(value, F.transform("__a", lambda x: x["__v"])).drop("__a")
+
+
 def chunk_on(flow: Flow, value: str, most: int, end: Column) -> Flow:
     """Chunks that close after an element for which ``end`` holds, or after ``most`` elements."""
-    w = flow.window()
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    cut = flow.df.withColumn("__seg", F.coalesce(F.sum(end.cast("long")).over(before), F.lit(0)))
-    inner = Window.partitionBy(*flow.keys, "__seg").orderBy(*flow.order)
-    cut = cut.withColumn("__k", F.floor((F.row_number().over(inner) - 1) / most))
-    rows = cut.groupBy(*flow.keys, "__seg", "__k").agg(F.sort_array(F.collect_list(F.struct(*flow.order, F.col(value).alias("__v")))).alias("__a"))
-    return Flow(rows.select(*flow.keys, F.col("__seg"), F.col("__k"), F.transform("__a", lambda x: x["__v"]).alias(value)), flow.bucket, ("__seg", "__k"))
+    cut = _pieces(flow, end)
+    rows = cut.df.withColumn("__k", F.call_function("div", F.col(POS) - F.col("__from"), F.lit(most)))
+    return Flow(_gathered(rows, [*flow.keys, "__seg", "__k"], value), flow.bucket, ("__seg", "__k"))
 
 
 def segment(flow: Flow, starts: Column, ends: Column, value: str) -> Flow:
     """Segments from an element where ``starts`` holds to the next where ``ends`` holds, both inclusive."""
-    w = flow.window()
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = flow.df.withColumns({"__e": F.coalesce(F.sum(ends.cast("long")).over(before), F.lit(0)), "__s": starts})
-    inner = Window.partitionBy(*flow.keys, "__e").orderBy(*flow.order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("__open", F.max(F.col("__s").cast("int")).over(inner)).filter("__open = 1")
-    got = rows.groupBy(*flow.keys, "__e").agg(F.sort_array(F.collect_list(F.struct(*flow.order, F.col(value).alias("__v")))).alias("__a"))
-    return Flow(got.select(*flow.keys, F.col("__e").alias(POS), F.transform("__a", lambda x: x["__v"]).alias(value)), flow.bucket)
+    cut = _pieces(flow, ends, __open=F.when(starts, F.col(POS)))
+    rows = cut.df.filter(F.col("__open") >= F.col("__from"))
+    return Flow(_gathered(rows, [*flow.keys, "__seg"], value).withColumnRenamed("__seg", POS), flow.bucket)
 
 
 def ratchet(df: DataFrame, start: str, stop: str, order: str) -> tuple[DataFrame, DataFrame]:

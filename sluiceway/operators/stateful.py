@@ -116,18 +116,14 @@ def unfolds(flow: Flow, columns: list[str], start, step: Callable, outputs: dict
 
 def dedup_sorted(flow: Flow, column: str) -> Flow:
     """Drop elements equal to the one before (``decimate`` by equality), in built-in expressions."""
-    before = F.lag(column).over(flow.window())
-    first = F.row_number().over(flow.window()) == 1
-    return replace(flow, df=flow.df.withColumn("__keep", first | ~F.col(column).eqNullSafe(before)).filter("__keep").drop("__keep"))
+    kept = F.col("__first") | ~F.col(column).eqNullSafe(F.col("__before")[column])
+    return replace(flow, df=flow.previous(column).filter(kept).drop("__before", "__first"))
 
 
 def decimate(flow: Flow, drop: Callable[[Column, Column], Column], column: str) -> Flow:
     """Drop the second of each adjacent pair of the source for which ``drop(before, element)`` holds."""
-    before = F.lag(column).over(flow.window())
-    first = F.row_number().over(flow.window()) == 1
-    kept = F.col("__first") | ~F.coalesce(drop(F.col("__before"), F.col(column)), F.lit(False))
-    out = flow.df.withColumns({"__before": before, "__first": first}).filter(kept)
-    return replace(flow, df=out.drop("__before", "__first"))
+    kept = F.col("__first") | ~F.coalesce(drop(F.col("__before")[column], F.col(column)), F.lit(False))
+    return replace(flow, df=flow.previous(column).filter(kept).drop("__before", "__first"))
 
 
 def merge(left: DataFrame, right: DataFrame, key: str, order_left: list[str], order_right: list[str], both: Column, only_left: Column, only_right: Column, name: str = "v", drop_null: bool = False) -> DataFrame:
@@ -168,8 +164,8 @@ def pack(flags: Flow, values: Flow, flag: str) -> Flow:
 
 def combine2(flags: Flow, flag: str, yes: Flow, no: Flow, value: str) -> Flow:
     """For each flag the next element of one of two streams."""
-    w = flags.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    f = flags.df.withColumn("__n", F.sum(F.col(flag).cast("long")).over(w)).withColumn("__m", F.count(F.lit(1)).over(w) - F.col("__n"))
+    counted = replace(flags, df=flags.df.withColumn("__f", F.col(flag).cast("long")))
+    f = counted.running(__n=F.sum("__f"), __m=F.count(F.lit(1))).withColumn("__m", F.col("__m") - F.col("__n")).drop("__f")
     f = f.withColumn("__at", F.when(F.col(flag), F.col("__n") - 1).otherwise(F.col("__m") - 1))
     keys = flags.keys
     y = yes.indexed().df.select(*keys, F.lit(True).alias(flag), F.col(POS).alias("__at"), value)

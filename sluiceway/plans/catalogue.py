@@ -703,3 +703,6 @@ def session_windows(spark, sf_dir):
 
     out = sessions(_t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "2 hours", ["user_id"], n=F.count(F.lit(1)))
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
+
+
+from . import further, roundtrips  # noqa: E402,F401  they register their queries

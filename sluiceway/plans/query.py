@@ -154,7 +154,11 @@ def load(plan: dict, q: Q, inputs: dict[str, Flow] | None = None) -> Flow | Data
         elif tag in ("table", "table_column", "family_column"):
             made[name] = q.from_store(node["path"])
         elif tag == "table_columns":
-            made[name] = q.from_store(node["path"]).select(*node["columns"])
+            t = q.from_store(node["path"])
+            wanted = set(node["columns"])
+            if not wanted <= set(t.columns):
+                raise KeyError(f"no columns {sorted(wanted - set(t.columns))}")
+            made[name] = t.select(*(c for c in t.columns if c in wanted))  # a mask: the table's order holds
         elif tag == "given":
             made[name] = made[node["name"]]
         elif tag == "mapi":

@@ -25,14 +25,17 @@ def lines(spark: SparkSession, paths: str | list[str], sep: str | None = None, p
 
 
 def ordered_lines(spark: SparkSession, paths: str | list[str], sep: str = "\n", pattern: str | None = None) -> Flow:
-    """One stream a file, in file order: a file is read whole, so this is for files that fit a task."""
-    reader = spark.read.format("binaryFile")
+    """One stream a file, in file order, with positions from 0.
+
+    Files are read by splits, as any text: the start of a line's split and its number within
+    the task that read it give the order, so a file need not fit a task.
+    """
+    reader = spark.read.option("lineSep", sep)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    text = reader.load(paths).select(F.col("path").alias(BUCKET), F.decode("content", "UTF-8").alias("t"))
-    body = F.when(F.col("t").endswith(sep), F.expr("substring(t, 1, length(t) - 1)")).otherwise(F.col("t"))
-    rows = text.filter("t <> ''").select(BUCKET, F.posexplode(F.split(body, "\\Q" + sep + "\\E", -1)).alias(POS, "value"))
-    return Flow(rows.withColumn(POS, F.col(POS).cast("long")), BUCKET)
+    rows = reader.text(paths).select(F.col("_metadata.file_path").alias(BUCKET), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__row"), "value")
+    at = Flow(rows, BUCKET, ("__block", "__row")).indexed()
+    return Flow(at.df.select(BUCKET, POS, "value"), BUCKET)
 
 
 def separated(spark: SparkSession, paths: str | list[str], sep: str) -> DataFrame:
@@ -135,8 +138,44 @@ def read_vector(spark: SparkSession, path: str) -> DataFrame:
     return t.select(F.posexplode(F.expr("slice(w, 3, cast(w[1] as int))")).alias("i0", "x")).select(F.col("i0").cast("long"), F.col("x").cast("double").alias("v"))
 
 
+def _written_numbers(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``at, value``: the lines of the files of a folder, one file after another, numbered from 0 over all."""
+    rows = ordered_lines(spark, path, pattern=pattern).funnel().extend(line=F.col("value")).indexed()
+    return rows.df.select(F.col(POS).alias("at"), F.trim("line").alias("value"))
+
+
+def write_matrix(df: DataFrame, shape: tuple[int, int], path: str) -> None:
+    """The text form of a matrix, ``i0, i1, v``, as files of a folder in order: two header lines, then an element a line."""
+    head = df.sparkSession.createDataFrame([(-2, "MATRIX"), (-1, f"{shape[0]} {shape[1]}")], "__at long, value string")
+    cells = df.select((F.col("i0") * shape[1] + F.col("i1")).cast("long").alias("__at"), F.col("v").cast("string").alias("value"))
+    head.union(cells).orderBy("__at").select("value").write.mode("overwrite").text(path)
+
+
+def read_written_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """``i0, i1, v`` of what ``write_matrix`` wrote; read by splits, with the order of lines from key ranges."""
+    rows = _written_numbers(spark, path)
+    head = {r["at"]: r["value"] for r in rows.filter("at < 2").collect()}
+    if head.get(0) != "MATRIX":
+        raise ValueError(f"{path} holds no matrix")
+    cols = int(head[1].split()[1])
+    at = F.col("at") - 2
+    cells = rows.filter("at >= 2").select(F.call_function("div", at, F.lit(cols)).alias("i0"), F.pmod(at, F.lit(cols)).alias("i1"), F.col("value").cast("double").alias("v"))
+    return cells.withColumn("i1", F.col("i1").cast("long"))
+
+
+def write_vector(df: DataFrame, n: int, path: str) -> None:
+    """The text form of a vector, ``i0, v``, as files of a folder in order."""
+    head = df.sparkSession.createDataFrame([(-2, "VECTOR"), (-1, str(n))], "__at long, value string")
+    head.union(df.select(F.col("i0").cast("long").alias("__at"), F.col("v").cast("string").alias("value"))).orderBy("__at").select("value").write.mode("overwrite").text(path)
+
+
+def read_written_vector(spark: SparkSession, path: str) -> DataFrame:
+    """``i0, v`` of what ``write_vector`` wrote."""
+    return _written_numbers(spark, path).filter("at >= 2").select((F.col("at") - 2).alias("i0"), F.col("value").cast("double").alias("v"))
+
+
 def matrix_text(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
-    """One row ``value`` with the text form of a matrix."""
+    """One row ``value`` with the text form of a small matrix; ``write_matrix`` is for those that do not fit a row."""
     cells = F.array_sort(F.collect_list(F.struct("i0", "i1", "v")))
     body = F.array_join(F.transform(cells, lambda c: c["v"].cast("string")), "\n")
     return df.agg(F.concat(F.lit(f"MATRIX\n{shape[0]} {shape[1]}\n"), body, F.lit("\n")).alias("value"))
@@ -144,6 +183,11 @@ def matrix_text(df: DataFrame, shape: tuple[int, int]) -> DataFrame:
 
 def read_raw_array(spark: SparkSession, path: str, dtype: str = "<f8") -> DataFrame:
     """``_file, i0, v`` of a raw dump of numbers."""
+    return numbers_of(bytes_of(spark, path), dtype)
+
+
+def numbers_of(rows: DataFrame, dtype: str = "<f8") -> DataFrame:
+    """``_file, i0, v`` of the numbers in ``_file, content``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -151,11 +195,16 @@ def read_raw_array(spark: SparkSession, path: str, dtype: str = "<f8") -> DataFr
                 v = np.frombuffer(raw, dtype).astype(float)
                 yield pd.DataFrame({"_file": f, "i0": np.arange(len(v)), "v": v})
 
-    return bytes_of(spark, path).mapInPandas(run, "_file string, i0 long, v double")
+    return rows.select("_file", "content").mapInPandas(run, "_file string, i0 long, v double")
 
 
 def read_bitmap(spark: SparkSession, path: str) -> DataFrame:
     """``_file, i0, i1, r, g, b`` of uncompressed 24-bit bitmaps, the top row first."""
+    return pixels_of(bytes_of(spark, path))
+
+
+def pixels_of(pictures: DataFrame) -> DataFrame:
+    """``_file, i0, i1, r, g, b`` of the bitmaps in ``_file, content``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -170,7 +219,7 @@ def read_bitmap(spark: SparkSession, path: str) -> DataFrame:
                 i, j = np.indices((abs(h), w))
                 yield pd.DataFrame({"_file": f, "i0": i.ravel(), "i1": j.ravel(), "r": rows[..., 2].ravel(), "g": rows[..., 1].ravel(), "b": rows[..., 0].ravel()})
 
-    return bytes_of(spark, path).mapInPandas(run, "_file string, i0 long, i1 long, r int, g int, b int")
+    return pictures.select("_file", "content").mapInPandas(run, "_file string, i0 long, i1 long, r int, g int, b int")
 
 
 def bitmap_bytes(pixels: np.ndarray) -> bytes:

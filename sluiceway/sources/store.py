@@ -8,14 +8,14 @@ from the metadata and are never inferred.
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..flow import BUCKET, POS, Flow
-from ..functions.formats import Field, unpack_sep
+from ..functions.formats import Field, pack_sep, unpack_sep
+from ..scratch import hadoop_path
 from . import files
 
 KINDS = ("dimension", "family", "column", "table")
@@ -48,17 +48,46 @@ class Object:
         return objects_in(self.path) if self.kind in ("dimension", "family") else []
 
 
+# Metadata is read and written through Hadoop's file systems, so a store may lie wherever Spark's readers reach.
+def _spark() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
+def _folders(path: str) -> list[str]:
+    """The names of the directories in a directory, sorted; none if there is no such directory."""
+    fs, p = hadoop_path(_spark(), path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()) if fs.exists(p) else []
+
+
+def _read(path: str) -> dict:
+    fs, p = hadoop_path(_spark(), path)
+    stream = fs.open(p)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())
+    finally:
+        stream.close()
+
+
+def _write(path: str, meta: dict) -> None:
+    fs, p = hadoop_path(_spark(), path)
+    stream = fs.create(p, True)
+    try:
+        stream.write(bytearray(json.dumps(meta).encode()))
+    finally:
+        stream.close()
+
+
 def load_object(path: str) -> Object:
-    name, _, kind = os.path.basename(path.rstrip("/")).rpartition(".")
+    path = path.rstrip("/")
+    name, _, kind = path.rsplit("/", 1)[-1].rpartition(".")
     if kind not in KINDS:
         raise ValueError(f"{path} names no store object")
-    with open(os.path.join(path, f"_{kind}.json")) as f:
-        return Object(kind, name, path, json.load(f))
+    return Object(kind, name, path, _read(f"{path}/_{kind}.json"))
 
 
 def objects_in(path: str) -> list[Object]:
     """The objects of a directory, by name."""
-    return [load_object(os.path.join(path, n)) for n in sorted(os.listdir(path)) if n.rpartition(".")[2] in KINDS]
+    return [load_object(f"{path}/{n}") for n in _folders(path) if n.rpartition(".")[2] in KINDS]
 
 
 def resolve(root: str, logical: str) -> list[str | Object]:
@@ -71,14 +100,15 @@ def resolve(root: str, logical: str) -> list[str | Object]:
             if k != len(names) - 1 or parts[-1].lookup(n) is None:
                 raise KeyError(f"{parts[-1].name} has no column {n!r}")
             return [*parts, n]
-        found = [kind for kind in KINDS if os.path.isdir(os.path.join(here, f"{n}.{kind}"))]
+        there = _folders(here)
+        found = [kind for kind in KINDS if f"{n}.{kind}" in there]
         if len(found) > 1:
             raise KeyError(f"{n!r} is ambiguous in {here}")
         if found:
-            here = os.path.join(here, f"{n}.{found[0]}")
+            here = f"{here}/{n}.{found[0]}"
             parts.append(load_object(here))
-        elif os.path.isdir(os.path.join(here, n)):
-            here = os.path.join(here, n)
+        elif n in there:
+            here = f"{here}/{n}"
             parts.append(n)
         else:
             raise KeyError(f"no {n!r} in {here}")
@@ -105,22 +135,28 @@ def table_rows(spark: SparkSession, t: Object) -> DataFrame:
     return rows.select(*(F.col(f"r._{i + 1}").alias(n) for i, n in enumerate(names)))
 
 
+def _stream(file: Column) -> Column:
+    """The stream that a file is of: the number of its part, or its name without the suffix."""
+    part = F.regexp_extract(file, r"/part-([0-9]+)[^/]*$", 1)
+    return F.when(part != "", part).otherwise(F.regexp_extract(file, r"([^/]*)\.[^./]*$", 1))
+
+
 def family_key(spark: SparkSession, fam: Object) -> Flow:
     """The key of each row of a family, from its run lengths."""
-    runs = files.ordered_lines(spark, os.path.join(fam.path, "_shape"), pattern="*.tsv")
+    runs = files.ordered_lines(spark, f"{fam.path}/_shape", pattern="*.{tsv,txt}")
     f = Field.read(fam.meta["key"]["field"])
     cut = F.split("value", "\t")
-    rows = runs.df.select(F.regexp_extract(BUCKET, r"([^/]*)\.[^./]*$", 1).alias(BUCKET), POS, f.unpack(cut[0]).alias("key"), cut[1].cast("int").alias("__n"))
+    rows = runs.df.select(_stream(F.col(BUCKET)).alias(BUCKET), POS, f.unpack(cut[0]).alias("key"), cut[1].cast("int").alias("__n"))
     rows = rows.select(BUCKET, POS, "key", F.posexplode(F.array_repeat(F.lit(0), F.col("__n"))).alias("_copy", "__z")).drop("__z")
     return Flow(rows, BUCKET, (POS, "_copy"))
 
 
 def family_column(spark: SparkSession, fam: Object, column: str) -> Flow:
     """One column of a family, a value a line."""
-    col = load_object(os.path.join(fam.path, f"{column}.column"))
+    col = load_object(f"{fam.path}/{column}.column")
     rows = files.ordered_lines(spark, col.path, pattern="*.txt")
     f = Field.read(col.meta["format"]["field"])
-    return Flow(rows.df.select(F.regexp_extract(BUCKET, r"([^/]*)\.[^./]*$", 1).alias(BUCKET), POS, f.unpack(F.col("value")).alias(column)), BUCKET)
+    return Flow(rows.df.select(_stream(F.col(BUCKET)).alias(BUCKET), POS, f.unpack(F.col("value")).alias(column)), BUCKET)
 
 
 def family_columns(spark: SparkSession, fam: Object, columns: list[str]) -> Flow:
@@ -161,6 +197,39 @@ class Dictionary:
         return df.join(self.forward().select(F.col("k").alias(column), F.col("v").alias(name)), column, "left")
 
 
+# --- making a store ----------------------------------------------------------------------
+def _column_meta(name: str, f: Field) -> dict:
+    return {"_type": "column", "name": name, "format": {"_type": "field", "field": f.show()}, "desc": ""}
+
+
+def write_dimension(path: str) -> None:
+    """A dimension, which holds tables, families and further dimensions."""
+    _write(f"{path}/_dimension.json", {"_type": "dimension", "name": path.rsplit("/", 1)[-1].rpartition(".")[0]})
+
+
+def write_table(df: DataFrame, path: str, columns: dict[str, Field], delim: str = "sep", sep: str = "\t") -> None:
+    """A table of the columns, as separated rows, or lines of a single column."""
+    rows = df.select(pack_sep(sep, list(columns.values()), [F.col(n) for n in columns]).alias("value"))
+    rows.write.mode("overwrite").text(path)
+    meta = {"_type": "delim", "delim": delim} | ({"sep": sep} if delim == "sep" else {})
+    _write(f"{path}/_table.json", {"_type": "table", "name": path.rsplit("/", 1)[-1].rpartition(".")[0], "delim": meta, "columns": [_column_meta(n, f) for n, f in columns.items()]})
+
+
+def write_family(df: DataFrame, path: str, key: tuple[str, Field], columns: dict[str, Field], order: list[str], streams: int) -> None:
+    """A family: the run lengths of a sorted key, and one directory a column, in as many streams.
+
+    Rows of one key go to one stream, which is a file of each directory.
+    """
+    name, f = key
+    cut = df.repartition(streams, name).sortWithinPartitions(name, *order)
+    shape = df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).repartition(streams, name).sortWithinPartitions(name)
+    shape.select(F.concat_ws("\t", f.pack(F.col(name)), F.col("__n").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/_shape")
+    for c, g in columns.items():
+        cut.select(g.pack(F.col(c)).alias("value")).write.mode("overwrite").text(f"{path}/{c}.column")
+        _write(f"{path}/{c}.column/_column.json", _column_meta(c, g))
+    _write(f"{path}/_family.json", {"_type": "family", "name": path.rsplit("/", 1)[-1].rpartition(".")[0], "key": {"_type": "field", "field": f.show()}})
+
+
 def split_columns(df: DataFrame, fields: str, path: str) -> None:
     """One directory for each column of rows of fields, a value a line."""
     rows = df.select(F.posexplode(fields).alias("column", "value"))

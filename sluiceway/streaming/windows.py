@@ -55,6 +55,15 @@ def to_table(df: DataFrame, name: str, mode: str, checkpoint: str):
     return q
 
 
+def to_files(df: DataFrame, path: str, checkpoint: str) -> None:
+    """Run an aggregation over what there is of a stream, and leave its last result as Parquet; a restart goes on from the checkpoint."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def tee(df: DataFrame, sinks: list[Callable[[DataFrame], None]], checkpoint: str):
     """Each batch to several sinks (``dup``)."""
 

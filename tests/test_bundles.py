@@ -66,3 +66,15 @@ def test_grids(spark):
     assert {(r.i0, r.i1): r.v for r in t.df.collect()} == {(i, j): v[i, j] - (v[i - 1, j] if i else 0) for i in range(4) for j in range(4)}
     got = {(r.i0, r.i1): complex(r.re, r.im) for r in fft_grid(a.df, ["i0", "i1"], "v", None).collect()}
     assert np.allclose([[got[i, j] for j in range(4)] for i in range(4)], np.fft.fft2(v))
+
+
+def test_tags_of_any_length(spark):
+    """Ten thousand attributes in a tag, a very long page, and keys that repeat."""
+    from sluiceway.operators import tags
+
+    wide = "<a " + " ".join(f'k{i}="{i}"' for i in range(10_000)) + ' k5="again"/>'
+    docs = spark.createDataFrame([(1, wide), (2, "<p>x</p>" * 3000), (3, None), (4, ""), (5, "<b><i>"), (5, "<u>")], "id long, html string")
+    out = tags.elements(docs, "id", "html").collect()
+    assert len(next(r for r in out if r.id == 1).attributes) == 10_000 and next(r for r in out if r.id == 1).attributes["k5"] == "5"
+    assert sum(r.id == 2 for r in out) == 3000
+    assert sorted(r.path for r in out if r.id == 5) == ["b", "b/i", "u"]
