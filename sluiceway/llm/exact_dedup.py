@@ -8,6 +8,7 @@ are settled map-side.  All other rows meet in one ordinary shuffle by digest.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +19,8 @@ from .runtime import Scratch, ship
 
 #: Counters kept; it bounds what is sent to the driver and broadcast.
 COUNTERS = 1024
+#: Ids up to this count are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 _BLANKS = b" \t\n\x0b\x0c\r"
@@ -96,17 +99,21 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    A row whose id is null stays only if its text has no other row with an id.
+    Those that go are joined by their ids, so texts stay where they are.  Rows that repeat an id,
+    a null one too, are settled by their texts as well: one of each text stays.
     """
-    kept = exact_groups(docs, id_col, text_col, counters).filter("kept")
-    ids = kept.select(F.col("doc_id").alias("__id"))
-    found = docs.join(ids.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.groupBy(id_col).count().filter("count > 1").limit(1).count()
-    if repeated:  # rows that repeat an id: settle them by their texts as well
-        digest = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", ""), 256))
-        right = kept.select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__d"))
-        found = docs.withColumn("__digest", digest)
-        found = found.join(right, found[id_col].eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__d")), "left_semi")
-        w = Window.partitionBy(id_col, "__digest").orderBy(F.desc(F.length(text_col)))
-        found = found.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r", "__digest")
-    return found
+    scratch = Scratch(docs.sparkSession, "copies")
+    settled = scratch.keep(exact_groups(docs, id_col, text_col, counters).select("doc_id", "kept", F.unhex("text_sha256").alias("digest")))
+    own = f"__{uuid.uuid4().hex[:12]}"  # no column of the documents is named so
+    repeated = scratch.keep(settled.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias(own)))
+    gone = scratch.keep(settled.filter("not kept").select(F.col("doc_id").alias(own)))
+    n = repeated.count()
+    if n == 0:
+        side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+        return docs.join(side, docs[id_col].eqNullSafe(F.col(own)), "left_anti")
+    digest = F.unhex(F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), " \t\n\x0b\x0c\r", ""), 256))
+    kept = settled.filter("kept").select(F.col("doc_id").alias(own), F.col("digest").alias(f"{own}d")).distinct()
+    found = docs.withColumn(f"{own}t", digest)
+    found = found.join(kept, found[id_col].eqNullSafe(F.col(own)) & (F.col(f"{own}t") == F.col(f"{own}d")), "left_semi")
+    w = Window.partitionBy(id_col, f"{own}t").orderBy(F.desc(F.length(text_col)))
+    return found.withColumn(f"{own}r", F.row_number().over(w)).filter(F.col(f"{own}r") == 1).drop(f"{own}r", f"{own}t")

@@ -12,6 +12,7 @@ exactly only for pairs that pass and, in a tile, are not connected yet.
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -310,7 +311,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays, the one of the smallest id, with all columns."""
-    gone = near_duplicates(docs, k, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("__id")).distinct()
+    own = f"__{uuid.uuid4().hex[:12]}"  # no column of the documents is named so
+    gone = near_duplicates(docs, k, percent, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
     gone = Scratch(docs.sparkSession, "gone").keep(gone)
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs[id_col] == F.col("__id"), "left_anti")
+    return docs.join(side, docs[id_col] == F.col(own), "left_anti")

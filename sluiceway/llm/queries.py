@@ -74,7 +74,7 @@ def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import overlaps
 
-    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short=True)
 
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,13 +164,15 @@ ORACLE: dict[str, str] = {
         WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM benchmark),
         d AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM t),
-        i AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 8),
+        i AS (SELECT item_id, len(w) AS n, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM b WHERE len(w) >= 1),
         ds AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 5) OVER o AS x5, lead(x, 6) OVER o AS x6, lead(x, 7) OVER o AS x7
                FROM d WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
         js AS (SELECT *, lead(x, 1) OVER o AS x1, lead(x, 2) OVER o AS x2, lead(x, 3) OVER o AS x3, lead(x, 5) OVER o AS x5, lead(x, 6) OVER o AS x6, lead(x, 7) OVER o AS x7
                FROM i WINDOW o AS (PARTITION BY item_id ORDER BY p)),
-        l AS (SELECT doc_id, item_id, ds.p - js.p AS line FROM ds JOIN js ON ds.x = js.x AND ds.x1 = js.x1 AND ds.x3 = js.x3 AND ds.x5 = js.x5 AND ds.x6 = js.x6
-              UNION SELECT doc_id, item_id, ds.p - js.p FROM ds JOIN js ON ds.x = js.x AND ds.x1 = js.x1 AND ds.x2 = js.x2 AND ds.x5 = js.x5 AND ds.x7 = js.x7),
+        l AS (SELECT doc_id, item_id, ds.p - js.p AS line FROM ds JOIN js ON n >= 8 AND ds.x = js.x AND ds.x1 = js.x1 AND ds.x3 = js.x3 AND ds.x5 = js.x5 AND ds.x6 = js.x6
+              UNION SELECT doc_id, item_id, ds.p - js.p FROM ds JOIN js ON n >= 8 AND ds.x = js.x AND ds.x1 = js.x1 AND ds.x2 = js.x2 AND ds.x5 = js.x5 AND ds.x7 = js.x7
+              UNION SELECT doc_id, item_id, ds.p - js.p FROM ds JOIN js ON n >= 8 AND n < 12 AND ds.x = js.x AND ds.x1 = js.x1 AND ds.x2 = js.x2
+              UNION SELECT doc_id, item_id, d.p - i.p FROM d JOIN i ON n < 8 AND d.x = i.x GROUP BY doc_id, item_id, d.p - i.p HAVING count(*) = max(n)),
         m AS (SELECT l.doc_id, l.item_id, count(DISTINCT i.p) AS matched, max(n) AS item_words FROM l JOIN i ON i.item_id = l.item_id
               JOIN d ON d.doc_id = l.doc_id AND d.p = l.line + i.p AND d.x = i.x GROUP BY ALL)
         SELECT doc_id, item_id, matched, item_words, matched / item_words AS share FROM m WHERE matched / item_words >= 0.8

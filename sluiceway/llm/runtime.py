@@ -56,9 +56,25 @@ def _hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+_MADE: list[Scratch] = []
+
+
+def made() -> int:
+    """How many scratch folders there have been."""
+    return len(_MADE)
+
+
+def release(since: int) -> None:
+    """Delete the scratch folders made since; nothing may read them any more."""
+    for x in _MADE[since:]:
+        fs, p = _hadoop_path(x.spark, x.base)
+        fs.delete(p, True)
+    del _MADE[since:]
+
+
 class Scratch:
-    """Tables written to the shared folder.  ``drop`` removes those no longer read;
-    the rest go when the session's JVM ends."""
+    """Tables written to the shared folder.  ``drop`` removes those no longer read, ``release``
+    whole folders; the rest go when the session's JVM ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -66,6 +82,7 @@ class Scratch:
         fs, p = _hadoop_path(spark, self.base)
         fs.deleteOnExit(p)
         self.n = 0
+        _MADE.append(self)
 
     def keep(self, df: DataFrame, label: str = "t", partition_by: str | None = None) -> DataFrame:
         """Write ``df`` as Parquet and read it back, which cuts its lineage."""

@@ -472,3 +472,56 @@ def test_unfit_vocabularies_are_refused():
     spec["model"]["merges"] = [["Ġt", "he"], *spec["model"]["merges"]]
     with pytest.raises(ValueError, match="later merge"):
         bpe.ByteBpe(json.dumps(spec).encode())
+
+
+# --- rows without ids, short tests, and columns named as inner ones ------------------------------------------
+def test_short_tests_are_found_where_a_fifth_of_their_words_is_changed(spark):
+    rng = random.Random(12)
+    tests, docs = [], []
+    for i in range(200):
+        n = rng.choice([8, 9, 10, 11])
+        u = prose(rng, n).split()
+        tests.append((i, " ".join(u)))
+        for k in rng.sample(range(n), n // 5):
+            u[k] = "new"
+        docs.append((i, " ".join(prose(rng, 20).split() + u + prose(rng, 20).split())))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(a, b).collect()} == {(i, i) for i in range(200)} == plain_overlaps(docs, tests)
+
+
+def test_short_tests_of_the_query(spark, tmp_path):
+    """Tests of any length, with the query's SQL."""
+    rng = random.Random(13)
+    tests = [(i, prose(rng, n, 60)) for i, n in enumerate([1, 2, 3, 5, 7, 8, 9, 10, 11, 12, 15, 30])] + [(50, ""), (51, None), (52, "w1")]
+    docs = []
+    for i in range(80):
+        w, u = prose(rng, 30, 60).split(), tests[i % 12][1].split()
+        if i % 2:
+            u[rng.randrange(len(u))] = "new"
+        docs.append((i, " ".join(w[:9] + u + w[9:])))
+    spark.createDataFrame(docs + [(90, ""), (91, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(tests, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = {tuple(r) for r in c.execute("SELECT doc_id, item_id, matched FROM (" + ORACLE["op9_decontamination"] + ")").fetchall()}
+    got = {(r.doc_id, r.item_id, r.matched) for r in QUERIES["op9_decontamination"](spark, str(tmp_path)).collect()}
+    assert got == want and len({i for _, i, _ in got}) >= 10
+
+
+def test_rows_without_ids_are_searched(spark):
+    test = prose(random.Random(1), 20)
+    docs = spark.createDataFrame([(None, f"a b {test} c"), (None, "clean text"), (1, test), (2, "clean"), (2, f"x {test}")], "doc_id long, text string")
+    left = decontaminate.drop_contaminated(docs, spark.createDataFrame([(1, test)], "item_id long, text string"))
+    assert rows(left) == [(None, "clean text")]
+
+
+def test_columns_named_as_inner_ones(spark):
+    names = ["__id", "__digest", "__r", "__d", "__key", "h", "w", "line", "kept", "digest", "component_id", "rep"]
+    docs = spark.createDataFrame([(1, "a  b"), (2, "ab"), (3, None), (3, "ab"), (None, "x"), (None, "x")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    for d in (docs, docs.filter("doc_id < 3")):
+        left = exact_dedup.drop_exact_copies(d)
+        assert left.columns == d.columns and sorted(map(str, rows(left.select("doc_id", "text")))) == sorted(map(str, [(1, "a  b"), (3, None), (None, "x")] if d is docs else [(1, "a  b")]))
+        assert jaccard.drop_near_copies(d).columns == decontaminate.drop_contaminated(d, spark.createDataFrame([(1, "q r s")], "item_id long, text string")).columns == d.columns
