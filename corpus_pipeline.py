@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm import bpe, decontaminate, exact_dedup, jaccard, quality
 from sluiceway.llm.queries import tokenizer_path
-from sluiceway.llm.runtime import Scratch, table
+from sluiceway.llm.runtime import Scratch, made, release, table
 
 #: Documents that score below this are rejected.
 LEAST_QUALITY = 0.3
@@ -55,7 +55,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        mark, before = made(), docs
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = scratch.keep(docs, f"stage{k}")
+            # nothing reads the stage's own tables, or its input, any more
+            release(mark)
+            scratch.drop(before)
     return docs
