@@ -62,8 +62,8 @@ class Slice:
         return self.last - self.first
 
 
-def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[Slice]:
-    """Cut a string column into runs of whole documents of about ``most`` bytes; null counts as empty."""
+def slices(column: pa.Array, most: int = 1 << 20, rows: int | None = None) -> Iterator[Slice]:
+    """Cut a string column into runs of whole documents of about ``most`` bytes, and ``rows`` documents at most; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
@@ -77,7 +77,7 @@ def slices(column: pa.Array, most: int = 1 << 20) -> Iterator[Slice]:
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1
-        last = min(max(last, first + 1), len(column))
+        last = min(max(last, first + 1), len(column), first + rows if rows else len(column))
         yield Slice(first, last, data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
         first = last
 

@@ -31,6 +31,8 @@ FAMILIES = {
 #: Hash slots of the n-grams, and labelled rows used for fitting (about; spread evenly over languages).
 SLOTS, SAMPLE = 4096, 2000
 UNKNOWN = "und"
+#: Texts whose counts are held at once: SLOTS numbers each.
+ROWS = 256
 
 _LOWER = np.arange(256, dtype=np.uint32)
 _LOWER[65:91] += 32
@@ -145,7 +147,7 @@ class LanguageModel:
 
 def _encode(batches):
     for batch in batches:
-        for s in slices(batch.column(1)):
+        for s in slices(batch.column(1), rows=ROWS):
             counts = ngram_counts(s)
             raw = []
             for row in counts:
@@ -188,7 +190,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     def run(batches):
         m = shared.value
         for batch in batches:
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(1), rows=ROWS):
                 langs, score = np.full(len(s), UNKNOWN, object), np.zeros(len(s))
                 known = np.flatnonzero(_letters(s)) if m is not None else []
                 if len(known):
