@@ -1,12 +1,13 @@
 """N-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
-Equal shingle sets collapse into classes.  Two sets that link must share one of the
-rarest shingles of each, so only documents that share such a shingle meet.  Where a
-shingle has few documents, each pair of them of similar size is looked at once, however
-many shingles it shares.  Documents that meet on frequent shingles form pools, which are
-tiled by bands of set size and, within large bands, by blocks of which pairs meet.  Bit
-counts of hashed bitmaps bound the overlap from above, and sorted arrays are intersected
-exactly only for pairs that pass and, in a tile, are not connected yet.
+Equal shingle sets collapse into classes.  Two sets that link must share one of the rarest
+shingles of each, so documents that share such a shingle and have a size of the same or the
+next band make a tile.  Of a tile of few documents each pair is looked at; bit counts of hashed
+bitmaps bound the overlap from above, and sorted arrays are intersected exactly for pairs that
+pass.  Documents that meet in tiles of many form pools, tiled by bands again.  A tile of a pool
+that is larger than a block meets a few hubs first: who links to a hub is settled, and by the
+triangle inequality of the Jaccard distance only documents within twice the allowed distance of
+a hub can link to these, so only they, and what is left, are compared block by block.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from .components import components
 from .kernel import Words, distinct, mix, shingles, slices, sums, varlen
 from .runtime import Scratch, ship
 
-#: Buckets in which shingles are counted to order them by rarity, and the parts that the counts travel in.
-BUCKETS, PARTS = 1 << 21, 64
-#: Documents of a shingle up to which their pairs are looked at directly, and documents in a tile's block.
+#: Buckets in which shingles are counted to order them by rarity, fewest and most, bytes of text for each, and the parts that counts travel in.
+BUCKETS, BUCKET_BYTES, PARTS = (1 << 16, 1 << 24), 256, 64
+#: Documents of a tile up to which their pairs are looked at directly, and documents in a block of a pool's tile.
 FEW, BLOCK = 24, 256
+#: Hubs that each large tile meets one after another, and parts that its documents are dealt to for that.
+HUBS, SALT = 4, 32
 #: Ids and shingles up to these counts are broadcast; more are joined by a shuffle.
 BROADCAST_IDS, BROADCAST_KEYS = 200_000, 500_000
 
@@ -39,17 +42,18 @@ def _sets(s, k: int):
     return h, doc, np.searchsorted(doc, np.arange(len(s) + 1))
 
 
-def _profile(k: int):
+def _profile(k: int, buckets: int):
     """Of each text: set size and a 128-bit key of the set; of all texts: shingle counts by bucket."""
 
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.uint32)
         some = None
         for batch in batches:
             some = batch.column(0).type
             for s in slices(batch.column(1)):
                 h, _, bounds = _sets(s, k)
-                counts += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                at, n = np.unique((h & np.uint64(buckets - 1)).astype(np.int64), return_counts=True)
+                counts[at] += n.astype(np.uint32)
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(s.first, n), pa.array(np.diff(bounds), pa.int64()),
@@ -86,7 +90,7 @@ def _prefixes(shared, k: int, percent: int):
             for s in slices(batch.column(1)):
                 h, doc, bounds = _sets(s, k)
                 n = np.diff(bounds)
-                order = np.lexsort((h, levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)], doc))
+                order = np.lexsort((h, levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)], doc))
                 h = h[order]
                 want = np.where(n > 0, n - -(-n * percent // 100) + 1, 0)
                 first = np.repeat(bounds[:-1], n)
@@ -158,10 +162,11 @@ def _exact(percent: int):
     return run
 
 
-def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int, cross: bool) -> list[tuple]:
+def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int, cross: bool, known: int | None = None) -> list[tuple]:
     """Links that connect all documents of a tile which links connect: pairs with 100 * overlap >= percent * union.
 
-    Only pairs of different blocks count if ``cross``.  Pairs already connected are skipped.
+    Only pairs of different blocks count if ``cross``.  Pairs already connected are skipped;
+    the documents of the block ``known`` are so from the beginning.
     """
     order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
     ids, blocks, sets = [ids[i] for i in order], np.array([blocks[i] for i in order]), [sets[i] for i in order]
@@ -169,6 +174,8 @@ def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int
     width = _width(int(size[-1]))
     bits = np.array([_bitmap(x, width) for x in sets])
     root = np.arange(len(ids))
+    if known is not None and (blocks == known).any():
+        root[blocks == known] = int(np.flatnonzero(blocks == known)[0])
     links = []
     for i in range(len(ids) - 1):
         last = int(np.searchsorted(size, size[i] * 100 // percent, "right"))
@@ -200,7 +207,11 @@ def link_tile(ids: list, blocks: list[int], sets: list[np.ndarray], percent: int
 
 
 def _tiles(percent: int):
-    """Rows ``pool, t, i, j, block, doc_id, members``, those of a tile together, to links."""
+    """Rows ``pool, t, hub, i, j, block, doc_id, members``, those of a tile together, to links.
+
+    Tiles of a hub compare documents near it, block 0, with those that link to it, block 1;
+    others compare blocks i and j of what no hub settled.
+    """
 
     def run(batches):
         key, held = None, []
@@ -208,18 +219,21 @@ def _tiles(percent: int):
         def done():
             if len(held) < 2 or len({x[0] for x in held}) < 2:
                 return None
-            found = link_tile([x[0] for x in held], [x[1] for x in held], [np.frombuffer(x[2], "<u8") for x in held], percent, key[2] != key[3])
+            hub = key[2] is not None
+            found = link_tile([x[0] for x in held], [x[1] for x in held], [np.frombuffer(x[2], "<u8") for x in held], percent, hub or key[3] != key[4], 1 if hub else None)
             if not found:
                 return None
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for h, t, i, j, block, doc, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (h, t, i, j) != key:
+            columns = batch.columns
+            for k in range(batch.num_rows):
+                *now, block, doc, members = (c[k].as_py() for c in columns)
+                if now != key:
                     out = done()
                     if out is not None:
                         yield out
-                    key, held = (h, t, i, j), []
+                    key, held = now, []
                 held.append((doc, block, members))
         out = done()
         if out is not None:
@@ -228,6 +242,48 @@ def _tiles(percent: int):
     return run
 
 
+def _near_hub(percent: int):
+    """Rows ``pool, t, doc_id, members, hub, hub_members`` to ``pool, t, doc_id, hub, near``: 2 if the document links to the hub, 1 if it may link to one that does, else 0."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            members, hubs = batch.column("members"), batch.column("hub_members")
+            for k in range(batch.num_rows):
+                u, v = np.frombuffer(members[k].as_buffer(), "<u8"), np.frombuffer(hubs[k].as_buffer(), "<u8")
+                both = len(np.intersect1d(u, v, assume_unique=True))
+                union = len(u) + len(v) - both
+                near.append(2 if 100 * both >= percent * union else 1 if 100 * both >= (2 * percent - 100) * union else 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("pool", "t", "doc_id", "hub")), pa.array(near, pa.int32())], ["pool", "t", "doc_id", "hub", "near"])
+
+    return run
+
+
+def _settle(large: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links of large tiles (``pool, t, doc_id, members``) to hubs, rows ``pool, t, hub, doc_id, near`` of the documents
+    that link to a hub (2) or are near one (1), and ``pool, t, doc_id`` of those that link to none.
+
+    In each round the least document that no hub has settled is a tile's hub.  It goes, with its set,
+    to all parts that the tile's documents are dealt to, so no task holds a whole tile.
+    """
+    left = large.select("pool", "t", "doc_id")
+    found = None
+    for _ in range(HUBS):
+        hubs = left.groupBy("pool", "t").agg(F.min("doc_id").alias("hub"))
+        hubs = hubs.join(large.select("pool", "t", F.col("doc_id").alias("hub"), F.col("members").alias("hub_members")), ["pool", "t", "hub"])
+        hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        rows = large if found is None else large.join(left, ["pool", "t", "doc_id"], "left_semi")
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(hubs, ["pool", "t", "salt"])
+        met = rows.select("pool", "t", "doc_id", "members", "hub", "hub_members").mapInArrow(_near_hub(percent), "pool long, t int, doc_id long, hub long, near int")
+        met = scratch.keep(met, "hubs")
+        found = met if found is None else found.unionByName(met)
+        left = scratch.keep(met.filter("near < 2").select("pool", "t", "doc_id"), "left")
+        if left.isEmpty():
+            break
+    links = found.filter("near = 2 and doc_id <> hub").select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    return links, found.filter("near > 0").select("pool", "t", "hub", "doc_id", "near"), left
+
+
 def _semi(left: DataFrame, ids: DataFrame, count: int) -> DataFrame:
     return left.join(F.broadcast(ids) if count <= BROADCAST_IDS else ids.hint("shuffle_hash"), "doc_id", "left_semi")
 
@@ -238,7 +294,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     A text's set is its distinct k-word shingles, or its whole word sequence if it has
     fewer words; words are runs outside ``[\\x20\\x09-\\x0D]``, A-Z as a-z.  Two texts link
     if 100 * intersection >= percent * union; ``component_id`` is the smallest id that links
-    reach.  A null text or one without words has size 0 and links with nothing.  Rows that
+    reach.  Shingles are told apart by 64-bit hashes, and equal sets by 128 bits of them.  A null text or one without words has size 0 and links with nothing.  Rows that
     repeat an id count as one document, linked if any of its texts is; a null id links its
     equal texts but is never the smallest.  Ids are integers.  Other columns are not read.
     """
@@ -246,13 +302,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     ship(spark)
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    profile = scratch.keep(rows.mapInArrow(_profile(k), "doc_id long, n long, k1 long, k2 long, part int, counts binary"), "profile")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = 1 << (min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1]) - 1).bit_length()
+    profile = scratch.keep(rows.mapInArrow(_profile(k, buckets), "doc_id long, n long, k1 long, k2 long, part int, counts binary"), "profile")
     own = profile.filter("part is null").select("doc_id", "n", "k1", "k2")
     classes = scratch.keep(own.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
 
     parts = profile.filter("part is not null").select("part", "counts").repartition(PARTS, "part")
-    got = parts.mapInArrow(_levels, "part int, levels binary").collect()  # BUCKETS bytes in all
-    table = np.zeros(BUCKETS, np.uint8)
+    got = parts.mapInArrow(_levels, "part int, levels binary").collect()  # a byte for each bucket
+    table = np.zeros(buckets, np.uint8)
     for r in got:
         table.reshape(PARTS, -1)[r["part"]] = np.frombuffer(r["levels"], np.uint8)
     shared = spark.sparkContext.broadcast(table.tobytes())
@@ -268,38 +326,64 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     if n_copies > BROADCAST_IDS:
         entries = entries.join(copies, "doc_id", "left_anti")
     prefixes = scratch.keep(entries, "prefixes")
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    bands = F.explode(F.array(band, band + 1)).alias("t")
     entries = prefixes.select("doc_id", "n", F.explode("h").alias("h"))
     keys = scratch.keep(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "keys")
-    met = scratch.keep(entries.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "h"), "met")
-
-    # shingles of few documents: distinct pairs of similar size, bounded by their bitmaps
-    few = met.filter(F.col("m") <= FEW).select("h", "doc_id", "n")
-    left, right = (few.select("h", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = left.join(right, "h").filter(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").drop("h").distinct()
+    met = entries.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "h").select("h", "doc_id", "n", bands)
+    tiles = scratch.keep(met, "met")
+    sizes = tiles.groupBy("h", "t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+
+    # tiles of few documents: distinct pairs of similar size, bounded by their bitmaps
+    few = tiles.join(sizes.filter(F.col("m") <= FEW), ["h", "t"]).select("h", "t", "doc_id", "n")
+    left, right = (few.select("h", "t", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = left.join(right, ["h", "t"]).filter(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b").distinct()
     bits = prefixes.select("doc_id", "bits")
     pairs = scratch.keep(pairs, "pairs").join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
     likely = pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long")
     likely = scratch.keep(likely, "likely")
 
-    # shingles of many: pools of documents that meet on them
-    many = met.filter(F.col("m") > FEW)
-    hub = many.groupBy("h").agg(F.min("doc_id").alias("b"))
-    pool = components(many.join(hub, "h").select(F.col("doc_id").alias("a"), "b").distinct(), scratch)
+    # tiles of many: pools of documents that meet in them, each with the least document of its tile
+    hub = scratch.keep(tiles.groupBy("h", "t").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > FEW).select("h", "t", "b"), "many")
+    n_hubs = hub.count()
+    if n_hubs <= BROADCAST_KEYS:
+        many = tiles.join(F.broadcast(hub), ["h", "t"])
+    else:
+        dealt = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        many = tiles.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(dealt, ["h", "t", "salt"])
+    many = scratch.keep(many.select("doc_id", "n", "b").distinct(), "pooled")
+    pool = components(many.select(F.col("doc_id").alias("a"), "b"), scratch)
     pool = many.select("doc_id", "n").distinct().join(pool, F.col("doc_id") == F.col("u"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("pool"))
-    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    placed = scratch.keep(pool.withColumn("t", F.explode(F.array(band, band + 1))), "pools")
-    cut = placed.groupBy("pool", "t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
-    tiles = placed.join(cut, ["pool", "t"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int"))
-    tiles = tiles.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
-    tiles = tiles.select("pool", "t", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id")
+    placed = scratch.keep(pool.select("pool", "doc_id", bands), "pools")
+    sizes = scratch.keep(placed.groupBy("pool", "t").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "sizes")
 
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(placed.select("doc_id")).distinct()
     ids = scratch.keep(ids, "ids")
     members = scratch.keep(_semi(rows, ids, ids.count()).mapInArrow(_whole_sets(k), "doc_id long, members binary"), "members")
     found = likely.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long")
-    tiles = tiles.join(members, "doc_id").select("pool", "t", "i", "j", "block", "doc_id", "members")
-    tiles = tiles.repartition("pool", "t", "i", "j").sortWithinPartitions("pool", "t", "i", "j")
-    links = found.unionByName(tiles.mapInArrow(_tiles(percent), "a long, b long"))
+    few_large = sizes.filter(F.col("c") > BLOCK).select("pool", "t")  # at most one for each BLOCK documents
+    large = placed.join(F.broadcast(few_large) if few_large.count() <= BROADCAST_IDS else few_large, ["pool", "t"])
+    large = scratch.keep(large.join(members, "doc_id").select("pool", "t", "doc_id", "members"), "large")
+    hub_links, near, rest = _settle(large, percent, scratch)
+    near, rest = scratch.keep(near, "near"), scratch.keep(rest, "rest")
+
+    # blocks of documents near a hub with blocks of those that link to it
+    cut = near.groupBy("pool", "t", "hub").agg(F.ceil(F.sum((F.col("near") == 1).cast("int")) / BLOCK).cast("int").alias("p"), F.ceil(F.sum((F.col("near") == 2).cast("int")) / BLOCK).cast("int").alias("q"))
+    cut = cut.filter("p > 0 and q > 0")
+    mine = F.pmod(F.xxhash64("doc_id"), F.when(F.col("near") == 1, F.col("p")).otherwise(F.col("q"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("near") == 1, F.col("q")).otherwise(F.col("p")) - 1))
+    beside = near.join(F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut, ["pool", "t", "hub"]).withColumn("mine", mine).withColumn("o", others)
+    i, j = F.when(F.col("near") == 1, F.col("mine")).otherwise(F.col("o")), F.when(F.col("near") == 1, F.col("o")).otherwise(F.col("mine"))
+    beside = beside.select("pool", "t", "hub", i.alias("i"), j.alias("j"), (F.col("near") - 1).alias("block"), "doc_id")
+    # blocks of what no hub settled, and tiles that are one block
+    small = placed.join(sizes.filter(F.col("c") <= BLOCK), ["pool", "t"]).select("pool", "t", F.lit(1).alias("cut"), "doc_id")
+    cut = rest.groupBy("pool", "t").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cut"))
+    open_ = rest.join(F.broadcast(cut) if cut.count() <= BROADCAST_IDS else cut, ["pool", "t"]).select("pool", "t", "cut", "doc_id").unionByName(small)
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("cut")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cut") - 1)))
+    open_ = open_.select("pool", "t", F.lit(None).cast("long").alias("hub"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id")
+    blocks = beside.unionByName(open_).join(members, "doc_id").select("pool", "t", "hub", "i", "j", "block", "doc_id", "members")
+    blocks = blocks.repartition("pool", "t", "hub", "i", "j").sortWithinPartitions("pool", "t", "hub", "i", "j")
+    links = found.unionByName(hub_links).unionByName(blocks.mapInArrow(_tiles(percent), "a long, b long"))
     joined = components(links, scratch)
 
     merged = classes.join(joined, classes["rep"] == joined["u"], "left").select("k1", "k2", "size", F.col("rep"), "component").filter("size > 1 or component is not null")
