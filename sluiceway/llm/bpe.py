@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import varlen
+from .kernel import tidy, varlen
 from .runtime import ship
 
 #: How byte-level vocabularies split text before merging.
@@ -30,7 +30,7 @@ PIECES = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 NARROW_PIECES = f" ?[{_L}]+| ?[{_N}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Pieces that a worker remembers, and code points of text whose pieces are indexed together.
-REMEMBERED, BLOCK = 1 << 19, 1 << 22
+REMEMBERED, BLOCK = 1 << 19, 1 << 20
 #: Positions of a pair from which they are merged with array operations.
 MANY = 24
 
@@ -294,7 +294,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, n_tokens long" + ", decoded string" * with_decoded)
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, ids binary, n_tokens long" + ", decoded string" * with_decoded)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -15,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .kernel import tidy
 from .runtime import Scratch, ship
 
 #: Counters kept; it bounds what is sent to the driver and broadcast.
@@ -76,7 +77,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark, "exact")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    digests = scratch.keep(rows.mapInArrow(_digests, f"doc_id {kind}, n long, digest binary, rid long"), "digests")
+    digests = scratch.keep(rows.mapInArrow(tidy(_digests), f"doc_id {kind}, n long, digest binary, rid long"), "digests")
     best = F.min_by(F.struct("doc_id", "rid"), F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id"), F.col("rid")))
     hot = frequent_digests(digests, counters)
     wanted = spark.createDataFrame([(bytearray(d),) for d in hot], "digest binary")

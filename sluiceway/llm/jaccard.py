@@ -1,11 +1,11 @@
 """N-gram Jaccard join over size-banded tiles with hashed bitmap signatures.
 
 Equal shingle sets collapse into classes.  Two sets that link must share one of the rarest
-shingles of each, so documents that share such a shingle and have a size of the same or the
-next band make a tile.  Of a tile of few documents each pair is looked at; bit counts of hashed
-bitmaps bound the overlap from above, and sorted arrays are intersected exactly for pairs that
-pass.  Documents that meet in tiles of many form pools, tiled by bands again.  A tile of a pool
-that is larger than a block meets a few hubs first: who links to a hub is settled, and by the
+shingles of each, so the documents of such a shingle make a tile.  Of a tile of few each pair of
+similar size is looked at once, however many tiles it shares; bit counts of hashed bitmaps bound
+the overlap from above, and sorted arrays are intersected exactly for pairs that pass.  Documents
+that meet in tiles of many form pools, which are tiled by bands of set size.  Such a tile that is
+larger than a block meets a few hubs first: who links to a hub is settled, and by the
 triangle inequality of the Jaccard distance only documents within twice the allowed distance of
 a hub can link to these, so only they, and what is left, are compared block by block.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernel import Words, distinct, mix, shingles, slices, sums, varlen
+from .kernel import Words, distinct, mix, shingles, slices, sums, tidy, varlen
 from .runtime import Scratch, ship
 
 #: Buckets in which shingles are counted to order them by rarity, fewest and most, bytes of text for each, and the parts that counts travel in.
@@ -30,8 +30,8 @@ BUCKETS, BUCKET_BYTES, PARTS = (1 << 16, 1 << 24), 256, 64
 FEW, BLOCK = 24, 256
 #: Hubs that each large tile meets one after another, and parts that its documents are dealt to for that.
 HUBS, SALT = 4, 32
-#: Ids and shingles up to these counts are broadcast; more are joined by a shuffle.
-BROADCAST_IDS, BROADCAST_KEYS = 200_000, 500_000
+#: Ids up to this count are broadcast; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 
 
 def _sets(s, k: int):
@@ -139,7 +139,7 @@ def _bounded(percent: int):
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            rows = (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows))
             kept = [(a, b) for a, b, na, nb, x, y in rows if passes(na, nb, x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in kept], pa.int64()) for k in (0, 1)], ["a", "b"])
 
@@ -152,8 +152,9 @@ def _exact(percent: int):
     def run(batches):
         for batch in batches:
             kept = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                u, v = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for k in range(batch.num_rows):
+                a, b, x, y = (c[k] for c in batch.columns)
+                a, b, u, v = a.as_py(), b.as_py(), np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 both = len(np.intersect1d(u, v, assume_unique=True))
                 if 100 * both >= percent * (len(u) + len(v) - both) > 0:
                     kept.append((a, b))
@@ -274,7 +275,7 @@ def _settle(large: DataFrame, percent: int, scratch: Scratch) -> tuple[DataFrame
         hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
         rows = large if found is None else large.join(left, ["pool", "t", "doc_id"], "left_semi")
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(hubs, ["pool", "t", "salt"])
-        met = rows.select("pool", "t", "doc_id", "members", "hub", "hub_members").mapInArrow(_near_hub(percent), "pool long, t int, doc_id long, hub long, near int")
+        met = rows.select("pool", "t", "doc_id", "members", "hub", "hub_members").mapInArrow(tidy(_near_hub(percent)), "pool long, t int, doc_id long, hub long, near int")
         met = scratch.keep(met, "hubs")
         found = met if found is None else found.unionByName(met)
         left = scratch.keep(met.filter("near < 2").select("pool", "t", "doc_id"), "left")
@@ -304,7 +305,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = 1 << (min(max(size // BUCKET_BYTES, BUCKETS[0]), BUCKETS[1]) - 1).bit_length()
-    profile = scratch.keep(rows.mapInArrow(_profile(k, buckets), "doc_id long, n long, k1 long, k2 long, part int, counts binary"), "profile")
+    profile = scratch.keep(rows.mapInArrow(tidy(_profile(k, buckets)), "doc_id long, n long, k1 long, k2 long, part int, counts binary"), "profile")
     own = profile.filter("part is null").select("doc_id", "n", "k1", "k2")
     classes = scratch.keep(own.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")), "classes")
 
@@ -322,36 +323,29 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     first = rows.filter("doc_id is not null and text is not null")
     if n_copies <= BROADCAST_IDS:
         first = first.join(F.broadcast(copies), "doc_id", "left_anti")
-    entries = first.mapInArrow(_prefixes(shared, k, percent), "doc_id long, n long, h array<long>, bits binary")
+    entries = first.mapInArrow(tidy(_prefixes(shared, k, percent)), "doc_id long, n long, h array<long>, bits binary")
     if n_copies > BROADCAST_IDS:
         entries = entries.join(copies, "doc_id", "left_anti")
     prefixes = scratch.keep(entries, "prefixes")
-    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
-    bands = F.explode(F.array(band, band + 1)).alias("t")
+    # each shared shingle with the number of its documents and the least of them; a hot one is split by the join
     entries = prefixes.select("doc_id", "n", F.explode("h").alias("h"))
-    keys = scratch.keep(entries.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "keys")
-    met = entries.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "h").select("h", "doc_id", "n", bands)
-    tiles = scratch.keep(met, "met")
-    sizes = tiles.groupBy("h", "t").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    keys = entries.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("b")).filter("m > 1")
+    tiles = scratch.keep(entries.join(keys.hint("merge"), "h").select("h", "doc_id", "n", "m", "b"), "tiles")
 
     # tiles of few documents: distinct pairs of similar size, bounded by their bitmaps
-    few = tiles.join(sizes.filter(F.col("m") <= FEW), ["h", "t"]).select("h", "t", "doc_id", "n")
-    left, right = (few.select("h", "t", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
-    pairs = left.join(right, ["h", "t"]).filter(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b", "n_a", "n_b").distinct()
+    few = tiles.filter(F.col("m") <= FEW)
+    left, right = (few.select("h", F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    pairs = left.join(right, "h").filter(f"a < b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").drop("h").distinct()
     bits = prefixes.select("doc_id", "bits")
-    pairs = scratch.keep(pairs, "pairs").join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b")
-    likely = pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long")
+    pairs = scratch.keep(pairs, "pairs")
+    likely = pairs.join(bits.toDF("a", "bits_a"), "a").join(bits.toDF("b", "bits_b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_bounded(percent), "a long, b long")
     likely = scratch.keep(likely, "likely")
 
-    # tiles of many: pools of documents that meet in them, each with the least document of its tile
-    hub = scratch.keep(tiles.groupBy("h", "t").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("m")).filter(F.col("m") > FEW).select("h", "t", "b"), "many")
-    n_hubs = hub.count()
-    if n_hubs <= BROADCAST_KEYS:
-        many = tiles.join(F.broadcast(hub), ["h", "t"])
-    else:
-        dealt = hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-        many = tiles.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int")).join(dealt, ["h", "t", "salt"])
-    many = scratch.keep(many.select("doc_id", "n", "b").distinct(), "pooled")
+    # tiles of many: pools of documents that meet in them
+    many = scratch.keep(tiles.filter(F.col("m") > FEW).select("doc_id", "n", "b").distinct(), "many")
+    scratch.drop(tiles, pairs, prefixes)
+    band = F.floor(F.log("n") / math.log(100 / percent)).cast("int")
+    bands = F.explode(F.array(band, band + 1)).alias("t")
     pool = components(many.select(F.col("doc_id").alias("a"), "b"), scratch)
     pool = many.select("doc_id", "n").distinct().join(pool, F.col("doc_id") == F.col("u"), "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("pool"))
     placed = scratch.keep(pool.select("pool", "doc_id", bands), "pools")
@@ -359,8 +353,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).union(placed.select("doc_id")).distinct()
     ids = scratch.keep(ids, "ids")
-    members = scratch.keep(_semi(rows, ids, ids.count()).mapInArrow(_whole_sets(k), "doc_id long, members binary"), "members")
-    found = likely.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_exact(percent), "a long, b long")
+    members = scratch.keep(_semi(rows, ids, ids.count()).mapInArrow(tidy(_whole_sets(k)), "doc_id long, members binary"), "members")
+    found = likely.join(members.toDF("a", "x"), "a").join(members.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(tidy(_exact(percent)), "a long, b long")
     few_large = sizes.filter(F.col("c") > BLOCK).select("pool", "t")  # at most one for each BLOCK documents
     large = placed.join(F.broadcast(few_large) if few_large.count() <= BROADCAST_IDS else few_large, ["pool", "t"])
     large = scratch.keep(large.join(members, "doc_id").select("pool", "t", "doc_id", "members"), "large")
@@ -383,7 +377,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     open_ = open_.select("pool", "t", F.lit(None).cast("long").alias("hub"), F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "doc_id")
     blocks = beside.unionByName(open_).join(members, "doc_id").select("pool", "t", "hub", "i", "j", "block", "doc_id", "members")
     blocks = blocks.repartition("pool", "t", "hub", "i", "j").sortWithinPartitions("pool", "t", "hub", "i", "j")
-    links = found.unionByName(hub_links).unionByName(blocks.mapInArrow(_tiles(percent), "a long, b long"))
+    links = found.unionByName(hub_links).unionByName(blocks.mapInArrow(tidy(_tiles(percent)), "a long, b long"))
     joined = components(links, scratch)
 
     merged = classes.join(joined, classes["rep"] == joined["u"], "left").select("k1", "k2", "size", F.col("rep"), "component").filter("size > 1 or component is not null")

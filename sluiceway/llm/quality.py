@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, distinct, shingles, slices, sums
+from .kernel import Words, distinct, shingles, slices, sums, tidy
 from .runtime import ship
 
 #: Statistics of a text; shares are of its bytes, letters, words or word triples.
@@ -79,7 +79,7 @@ def _add_statistics(rows: DataFrame, kept: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*rest, *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(len(STATS)))], names)
 
     fields = [rows.schema.fields[i] for i in places]
-    return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"stat_{x} double" for x in STATS]))
+    return rows.mapInArrow(tidy(run), ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"stat_{x} double" for x in STATS]))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, whether above, threshold), all of which hold
