@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import Words, mix, slices, varlen
+from .kernel import Words, mix, slices, tidy, varlen
 from .runtime import Scratch, ship
 
 #: Positions of a seed that count (1) and that are ignored (0): every fifth word may differ anywhere.
@@ -27,6 +27,8 @@ K, PAD = 6, 62
 LINKS = 2
 #: Bits of a hash that name the buckets of one level, bytes of text whose seeds are packed together, and bytes of text (about) for a bucket.
 LEVEL_BITS, PACK, BUCKET = 12, 1 << 22, 1 << 22
+#: Matches within a pack that make one row: about a kilobyte, as rows of seeds, which bounds the batches that workers get.
+ROW_MATCHES = 128
 #: Words of the shortest passage, of the shortest stretch that may be part of one, and between stretches that touch.
 LEAST, PIECE, TOUCH = 50, 17, 2
 #: Cost of a word skipped on either side of a chain, and matching share of an aligned stretch.
@@ -116,8 +118,8 @@ def _pack(parts: list[tuple]) -> pa.RecordBatch:
     h, doc, at = _sorted(*(np.concatenate(c) for c in zip(*parts, strict=True)))
     here, there, held = _meet(h, doc, at, True)
     rows = _by_bucket((h[held] >> np.uint64(64 - LEVEL_BITS)).astype(np.int64), h[held], doc[held], at[held])
-    for k in range(0, len(here), 1 << 16):
-        x = np.append(here[k : k + (1 << 16)], there[k : k + (1 << 16)])
+    for k in range(0, len(here), ROW_MATCHES):
+        x = np.append(here[k : k + ROW_MATCHES], there[k : k + ROW_MATCHES])
         rows.append((-1 - int(doc[x[0]] & 0xFFFF), b"", *_narrow(doc[x]), *_narrow(at[x])))
     return _seed_batch(rows)
 
@@ -150,8 +152,9 @@ def _groups(batches, most: int | None = None):
     """Packed rows, sorted by bucket, as (bucket, rows): all of a bucket, or portions of about ``most`` bytes of hashes."""
     key, rows, size = None, [], 0
     for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for bucket, *row in zip(*columns, strict=True):
+        columns = batch.columns
+        for k in range(batch.num_rows):
+            bucket, *row = (c[k].as_py() for c in columns)
             if rows and (bucket != key or bucket < 0 or (most is not None and size >= most)):
                 yield key, rows
                 rows, size = [], 0
@@ -457,15 +460,15 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     scratch = Scratch(spark, "chain")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null and text is not null")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    packed = rows.mapInArrow(_seeds, SEED_ROW)
+    packed = rows.mapInArrow(tidy(_seeds), SEED_ROW)
     for level in range(1, 4):
         packed = packed.repartition("bucket").sortWithinPartitions("bucket")
         if size <= BUCKET << (LEVEL_BITS * level):
             break
         packed = packed.mapInArrow(_finer, SEED_ROW)
-    met = packed.mapInArrow(_matches, MATCH_ROW)
+    met = packed.mapInArrow(tidy(_matches), MATCH_ROW)
     met = met.repartition("doc_id", "other_id").sortWithinPartitions("doc_id", "other_id", "at", "other_at")
-    linked = scratch.keep(met.mapInArrow(_chain_rows, "doc_id long, other_id long, " + PATHS), "chains")
+    linked = scratch.keep(met.mapInArrow(tidy(_chain_rows), "doc_id long, other_id long, " + PATHS), "chains")
 
     ids = scratch.keep(linked.select("doc_id").union(linked.select("other_id")).distinct(), "ids")
     if ids.count() <= BROADCAST_IDS:
@@ -480,7 +483,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     both = cuts.join(held, "doc_id").withColumns({"own": cut("words", "base", "to"), "own_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "to")
     right = held.select(F.col("doc_id").alias("other_id"), "words")
     both = both.join(right, "other_id").withColumns({"other": cut("words", "other_base", "other_to"), "other_words": (F.octet_length("words") / 4).cast("int")}).drop("words", "other_to")
-    pieces = scratch.keep(both.mapInArrow(_stretches, STRETCH_ROW + ", " + PATHS), "stretches")
+    pieces = scratch.keep(both.mapInArrow(tidy(_stretches), STRETCH_ROW + ", " + PATHS), "stretches")
     # chains that go on beyond the words beside them, such as those of periodic passages, are aligned over whole texts
     long = pieces.filter("paths is not null").select("doc_id", "other_id", "paths")
     long = long.join(held.withColumnRenamed("words", "own"), "doc_id").join(right.withColumnRenamed("words", "other"), "other_id")
