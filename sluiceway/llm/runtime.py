@@ -11,10 +11,14 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes (about) of a batch of rows that a Python worker gets at a time, where the session does not say otherwise.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 23
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package's source to the executors, once for each application."""
+    """Send this package's source to the executors, once for each application, and bound what their workers get at a time."""
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
