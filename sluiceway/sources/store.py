@@ -2,7 +2,8 @@
 
 ``NAME.table`` holds row files; ``NAME.family`` holds a run-length key (``_shape``) and one
 directory a column; ``NAME.dimension`` holds further dimensions and families.  Schemas come
-from the metadata and are never inferred.
+from the metadata and are never inferred.  A stream of a family is a file of each directory,
+or a directory ``stream=K`` there, whose files follow one another by the numbers of their parts.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..flow import BUCKET, POS, Flow
@@ -19,6 +20,8 @@ from ..scratch import hadoop_path
 from . import files
 
 KINDS = ("dimension", "family", "column", "table")
+#: Rows of a file (about) when a family is written.
+FILE_ROWS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -135,10 +138,26 @@ def table_rows(spark: SparkSession, t: Object) -> DataFrame:
     return rows.select(*(F.col(f"r._{i + 1}").alias(n) for i, n in enumerate(names)))
 
 
+def _part(file: Column) -> Column:
+    return F.regexp_extract(file, r"/part-([0-9]+)[^/]*$", 1)
+
+
 def _stream(file: Column) -> Column:
-    """The stream that a file is of: the number of its part, or its name without the suffix."""
-    part = F.regexp_extract(file, r"/part-([0-9]+)[^/]*$", 1)
-    return F.when(part != "", part).otherwise(F.regexp_extract(file, r"([^/]*)\.[^./]*$", 1))
+    """The stream that a file is of: that of its directory, else the number of its part, or its name without the suffix."""
+    folder, part = F.regexp_extract(file, r"/stream=([0-9]+)/[^/]*$", 1), _part(file)
+    return F.when(folder != "", folder).when(part != "", part).otherwise(F.regexp_extract(file, r"([^/]*)\.[^./]*$", 1))
+
+
+def _in_streams(rows: DataFrame, at: Column, size: Column) -> DataFrame:
+    """Rows of files, ``at`` being their place in the file, with their stream and their place ``_pos`` in it.
+
+    What the earlier files of a stream come to, by ``size`` of their rows, is one row a file: no window sees more than a file.
+    """
+    sizes = rows.groupBy(F.col(BUCKET).alias("__file")).agg(F.sum(size).alias("__all")).withColumn("__stream", _stream(F.col("__file")))
+    before = Window.partitionBy("__stream").orderBy(_part(F.col("__file")).try_cast("long"), "__file")
+    offsets = sizes.select("__file", "__stream", (F.sum("__all").over(before) - F.col("__all")).alias("__off"))
+    out = rows.withColumn("__at", at).withColumnRenamed(BUCKET, "__file").join(F.broadcast(offsets), "__file")
+    return out.withColumns({BUCKET: F.col("__stream"), POS: F.col("__at") + F.col("__off")}).drop("__file", "__stream", "__at", "__off")
 
 
 def family_key(spark: SparkSession, fam: Object) -> Flow:
@@ -146,17 +165,19 @@ def family_key(spark: SparkSession, fam: Object) -> Flow:
     runs = files.ordered_lines(spark, f"{fam.path}/_shape", pattern="*.{tsv,txt}")
     f = Field.read(fam.meta["key"]["field"])
     cut = F.split("value", "\t")
-    rows = runs.df.select(_stream(F.col(BUCKET)).alias(BUCKET), POS, f.unpack(cut[0]).alias("key"), cut[1].cast("int").alias("__n"))
-    rows = rows.select(BUCKET, POS, "key", F.posexplode(F.array_repeat(F.lit(0), F.col("__n"))).alias("_copy", "__z")).drop("__z")
-    return Flow(rows, BUCKET, (POS, "_copy"))
+    rows = runs.df.select(BUCKET, POS, f.unpack(cut[0]).alias("key"), cut[1].cast("int").alias("__n"))
+    begun = F.sum("__n").over(Window.partitionBy(BUCKET).orderBy(POS)) - F.col("__n")
+    rows = _in_streams(rows, begun, F.col("__n"))
+    rows = rows.select(BUCKET, POS, "key", F.posexplode(F.array_repeat(F.lit(0), F.col("__n"))).alias("_copy", "__z"))
+    return Flow(rows.select(BUCKET, (F.col(POS) + F.col("_copy")).alias(POS), "key"), BUCKET)
 
 
 def family_column(spark: SparkSession, fam: Object, column: str) -> Flow:
     """One column of a family, a value a line."""
     col = load_object(f"{fam.path}/{column}.column")
-    rows = files.ordered_lines(spark, col.path, pattern="*.txt")
+    rows = _in_streams(files.ordered_lines(spark, col.path, pattern="*.txt").df, F.col(POS), F.lit(1))
     f = Field.read(col.meta["format"]["field"])
-    return Flow(rows.df.select(_stream(F.col(BUCKET)).alias(BUCKET), POS, f.unpack(F.col("value")).alias(column)), BUCKET)
+    return Flow(rows.select(BUCKET, POS, f.unpack(F.col("value")).alias(column)), BUCKET)
 
 
 def family_columns(spark: SparkSession, fam: Object, columns: list[str]) -> Flow:
@@ -218,14 +239,20 @@ def write_table(df: DataFrame, path: str, columns: dict[str, Field], delim: str
 def write_family(df: DataFrame, path: str, key: tuple[str, Field], columns: dict[str, Field], order: list[str], streams: int) -> None:
     """A family: the run lengths of a sorted key, and one directory a column, in as many streams.
 
-    Rows of one key go to one stream, which is a file of each directory.
+    Rows of one key go to one stream, a directory of each directory. Its files are ranges of
+    the sorted rows, so no task sorts a whole stream; directories may be cut at other places.
     """
     name, f = key
-    cut = df.repartition(streams, name).sortWithinPartitions(name, *order)
-    shape = df.groupBy(name).agg(F.count(F.lit(1)).alias("__n")).repartition(streams, name).sortWithinPartitions(name)
-    shape.select(F.concat_ws("\t", f.pack(F.col(name)), F.col("__n").cast("string")).alias("value")).write.mode("overwrite").text(f"{path}/_shape")
+    parts = max(streams, -(-df.count() // FILE_ROWS))
+
+    def write(rows: DataFrame, by: list[str], value: Column, to: str) -> None:
+        cut = rows.withColumn("__stream", F.pmod(F.hash(name), F.lit(streams))).repartitionByRange(parts, "__stream", *by).sortWithinPartitions("__stream", *by)
+        cut.select(F.col("__stream").alias("stream"), value.alias("value")).write.mode("overwrite").partitionBy("stream").text(to)
+
+    shape = df.groupBy(name).agg(F.count(F.lit(1)).alias("__n"))
+    write(shape, [name], F.concat_ws("\t", f.pack(F.col(name)), F.col("__n").cast("string")), f"{path}/_shape")
     for c, g in columns.items():
-        cut.select(g.pack(F.col(c)).alias("value")).write.mode("overwrite").text(f"{path}/{c}.column")
+        write(df, [name, *order], g.pack(F.col(c)), f"{path}/{c}.column")
         _write(f"{path}/{c}.column/_column.json", _column_meta(c, g))
     _write(f"{path}/_family.json", {"_type": "family", "name": path.rsplit("/", 1)[-1].rpartition(".")[0], "key": {"_type": "field", "field": f.show()}})
 

@@ -129,3 +129,21 @@ def test_streams(spark, data, tmp_path):
     assert spark.sql("select count(*) from running").first()[0] == e.count()
     got = {r.user_id: round(r.m, 3) for r in spark.sql("select user_id, max(total) m from running group by user_id").collect()}
     assert got == {r.user_id: round(r.m, 3) for r in e.groupBy("user_id").agg(F.sum("value").alias("m")).collect()} or len(got) == e.select("user_id").distinct().count()
+
+
+def test_family_streams_of_several_files(spark, tmp_path, monkeypatch):
+    """A stream is cut into files of a bounded number of rows, and read back in order over them."""
+    monkeypatch.setattr(store, "FILE_ROWS", 60)
+    rows = [(k, j, f"{k}.{j}") for k in range(90) for j in range(k % 12)] + [(500, j, f"500.{j}") for j in range(200)]
+    df = spark.createDataFrame(rows, "k long, j int, v string").repartition(5)
+    at = str(tmp_path / "f.family")
+    store.write_family(df, at, ("k", Field("IntAsc")), {"j": Field("IntAsc"), "v": Field("VarAsc")}, ["j"], 2)
+    for c in ("j", "v"):
+        sizes = [len(p.read_text().splitlines()) for p in (tmp_path / f"f.family/{c}.column").glob("stream=*/part-*")]
+        assert sum(sizes) == len(rows) and max(sizes) < 200
+    z = store.family_columns(spark, store.load_object(at), ["j", "v"])
+    got = [tuple(r) for r in z.df.orderBy(BUCKET, POS).select(BUCKET, POS, "key", "j", "v").collect()]
+    assert sorted(r[2:] for r in got) == sorted(rows) and len({r[0] for r in got}) == 2
+    for b in {r[0] for r in got}:
+        stream = [r for r in got if r[0] == b]
+        assert [r[1] for r in stream] == list(range(len(stream))) and [r[2:] for r in stream] == sorted(r[2:] for r in stream)
