@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from ..flow import BUCKET, POS, Flow
 from ..functions.formats import Field, pack_sep, unpack_sep
 
+#: Files that a task of a grid holds open.
+OPEN_FILES = 4
+
 
 def lines(spark: SparkSession, paths: str | list[str], sep: str | None = None, pattern: str | None = None) -> DataFrame:
     """``value`` and ``_file``: one row a record, the terminator dropped. Order within a file is not kept."""
@@ -116,8 +119,20 @@ def sieve(df: DataFrame, key: str, value: str, path: str, mode: str = "append")
 
 
 def grid(df: DataFrame, folder: str, n: int, path: str) -> None:
-    """A grid of outputs: a directory for each value of ``folder``, ``n`` files in each at most."""
-    df.repartition(n).write.mode("overwrite").partitionBy(folder).parquet(path)
+    """A grid of outputs: a directory for each value of ``folder``, ``n`` files in each at most.
+
+    All rows of a file go to one task, which writes them as they come: it holds up to
+    ``OPEN_FILES`` files open, and only rows of further files are sorted by directory.
+    """
+    spread = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    rows = df.repartition(folder, F.pmod(F.xxhash64(*spread), F.lit(n)))
+    conf, name = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(name, None)
+    conf.set(name, OPEN_FILES)
+    try:
+        rows.write.mode("overwrite").partitionBy(folder).parquet(path)
+    finally:
+        conf.unset(name) if before is None else conf.set(name, before)
 
 
 # --- arrays in files -----------------------------------------------------------------

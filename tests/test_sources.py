@@ -147,3 +147,16 @@ def test_family_streams_of_several_files(spark, tmp_path, monkeypatch):
     for b in {r[0] for r in got}:
         stream = [r for r in got if r[0] == b]
         assert [r[1] for r in stream] == list(range(len(stream))) and [r[2:] for r in stream] == sorted(r[2:] for r in stream)
+
+
+@pytest.mark.parametrize("n_open", [1, 4])
+def test_grid_keeps_its_number_of_files(spark, tmp_path, monkeypatch, n_open):
+    """Nothing is sorted by directory, a directory has no more files than asked for, and no row is lost with more directories than open files."""
+    monkeypatch.setattr(files, "OPEN_FILES", n_open)
+    at = tmp_path / "grid"
+    df = spark.range(5000).select((F.col("id") % 23).alias("k"), "id")
+    files.grid(df, "k", 3, str(at))
+    folders = [p for p in at.iterdir() if p.name.startswith("k=")]
+    assert len(folders) == 23 and all(1 <= len(list(p.glob("part-*"))) <= 3 for p in folders)
+    assert [tuple(r) for r in spark.read.parquet(str(at)).select("k", "id").orderBy("id").collect()] == [(i % 23, i) for i in range(5000)]
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
