@@ -11,6 +11,7 @@ what the ranges before it come to.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -71,7 +72,7 @@ class Flow:
         cut = self._cut()
         sizes = cut.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
         offsets = sizes.select("__part", (F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part")) - F.col("__n")).alias("__off"))
-        out = cut.withColumn("__row", F.row_number().over(self._within())).join(F.broadcast(offsets), "__part")  # a row for each range
+        out = spread(cut).withColumn("__row", F.row_number().over(self._within())).join(F.broadcast(offsets), "__part")  # a row for each range
         out = out.withColumn(name, (F.col("__row") - 1 + F.col("__off")).cast("long"))
         return replace(self, df=out.drop("__part", "__row", "__off"), order=(name,))
 
@@ -93,7 +94,7 @@ class Flow:
             # of each range the last row; there are as many as ranges
             last = cut.groupBy("__part").agg(F.max_by(now, F.struct(*self.order)).alias("__l"))
             carried = last.select("__part", F.lag("__l").over(Window.partitionBy(F.lit(0)).orderBy("__part")).alias("__c"))
-            out = cut.withColumn("__before", F.lag(now).over(self._within())).join(F.broadcast(carried), "__part")
+            out = spread(cut).withColumn("__before", F.lag(now).over(self._within())).join(F.broadcast(carried), "__part")
             out = out.withColumn("__before", F.coalesce("__before", "__c")).drop("__part", "__c")
         return out.withColumn("__first", F.col("__before").isNull())
 
@@ -115,7 +116,7 @@ class Flow:
         carry = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
         carried = totals.select("__part", *(carry[kinds[n]](f"__t_{n}").over(before).alias(f"__c_{n}") for n in aggregates))  # a row for each range
         w = self._within().rowsBetween(Window.unboundedPreceding, end)
-        out = cut.withColumns({n: c.over(w) for n, c in aggregates.items()}).join(F.broadcast(carried), "__part")
+        out = spread(cut).withColumns({n: c.over(w) for n, c in aggregates.items()}).join(F.broadcast(carried), "__part")
 
         def both(n: str) -> Column:
             local, c = F.col(n), F.col(f"__c_{n}")
@@ -127,27 +128,40 @@ class Flow:
 
         return out.withColumns({n: both(n) for n in aggregates}).drop("__part", *(f"__c_{n}" for n in aggregates))
 
-    def _range(self) -> Column:
-        """The number of the key range of a row: a balanced tree of comparisons with sampled bounds."""
-        rows = self.df.count()
-        n = min(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // RANGE_ROWS))
+    def _range(self, rows_each: int | None = None, rows: int | None = None) -> Column:
+        """The number of the key range of a row: a balanced tree of comparisons with sampled bounds.
+
+        Bounds are of the leading columns only, as many as cut the sample finely enough: rows
+        that agree in them share a range.
+        """
+        rows = self.df.count() if rows is None else rows
+        n = min(int(self.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // (rows_each or RANGE_ROWS)))
         if n <= 1:
             return F.lit(0)
         keys = self.df.select(*self.order)
         kinds = [f.dataType for f in keys.schema.fields]
         # about SAMPLED rows for each range
         found = sorted(tuple(r) for r in keys.dropna().sample(min(1.0, SAMPLED * n / rows), seed=1).collect())
-        bounds = sorted({found[len(found) * k // n] for k in range(1, n)}) if found else []
-        key = F.struct(*self.order)
+        used = 1
+        while used < len(self.order) and found and Counter(x[:used] for x in found).most_common(1)[0][1] > max(1, len(found) // (4 * n)):
+            used += 1
+        bounds = sorted({found[len(found) * k // n][:used] for k in range(1, n)}) if found else []
+        if not bounds:
+            return F.lit(0)
+        names = self.order[:used]
+        key = F.struct(*names) if used > 1 else F.col(names[0])
 
         def pick(low: int, high: int) -> Column:
             if low == high:
                 return F.lit(low)
             mid = (low + high) // 2
-            bound = F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(bounds[mid], kinds, self.order, strict=True)))
+            cells = [F.lit(v).cast(t) for v, t in zip(bounds[mid], kinds, strict=False)]
+            bound = F.struct(*(c.alias(m) for c, m in zip(cells, names, strict=True))) if used > 1 else cells[0]
             return F.when(key < bound, pick(low, mid)).otherwise(pick(mid + 1, high))
 
-        return pick(0, len(bounds))
+        tree = pick(0, len(bounds))
+        # a struct with nulls compares, a null alone does not; nulls come first
+        return tree if used > 1 else F.when(key.isNull(), F.lit(0)).otherwise(tree)
 
     # --- elementwise --------------------------------------------------------------
     def map(self, **columns: Column) -> Flow:
@@ -243,6 +257,11 @@ class Flow:
         return replace(self, df=self.running(**running))
 
 
+def spread(cut: DataFrame) -> DataFrame:
+    """Key ranges over as many tasks as the session shuffles to; small shuffles are not put together, since sorted rows take far more room than shuffled ones."""
+    return cut.repartition(int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")), "__part")
+
+
 def _kind_of(c: Column) -> str | None:
     """The aggregate that a column is a plain call of, if partial results of it can be carried."""
     found = re.fullmatch(r"Column<'(sum|count|min|max)\((.*)\)'>", str(c), re.DOTALL)

@@ -4,26 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..flow import POS, RANGE_ROWS, Flow
+from .. import scratch
+from ..flow import POS, RANGE_ROWS, Flow, spread
 
 
 def _islands(flow: Flow, *keys: str) -> DataFrame:
-    """The rows with ``__run``, the number of the run of equal keys that each belongs to."""
-    change = F.col("__first")
-    for k in keys:
-        change = change | ~F.col(k).eqNullSafe(F.col("__before")[k])
-    marked = flow.previous(*keys).withColumn("__start", change.cast("long")).drop("__before", "__first")
-    return replace(flow, df=marked).running(__run=F.sum("__start")).drop("__start")
+    """The rows with ``__run``, the number from 1 of the run of equal keys that each belongs to.
+
+    In a single stream runs are numbered within key ranges, and a row for each range carries
+    the number of runs before it, and whether its first run goes on from them.
+    """
+    if flow.bucket:
+        change = F.col("__first")
+        for k in keys:
+            change = change | ~F.col(k).eqNullSafe(F.col("__before")[k])
+        marked = flow.previous(*keys).withColumn("__start", change.cast("long")).drop("__before", "__first")
+        return replace(flow, df=marked).running(__run=F.sum("__start")).drop("__start")
+    w = flow._within()
+    rows = spread(flow._cut()).withColumn("__before", F.lag(F.struct(F.lit(True).alias("__there"), *keys)).over(w))
+    differs = reduce(lambda a, k: a | ~F.col(k).eqNullSafe(F.col("__before")[k]), keys, F.lit(False))
+    rows = rows.withColumn("__start", (F.col("__before").isNotNull() & differs).cast("long"))
+    now, at = F.struct(F.lit(True).alias("__there"), *keys), F.struct(*flow.order)
+    ranges = rows.groupBy("__part").agg(F.sum("__start").alias("__n"), F.min_by(now, at).alias("__a"), F.max_by(now, at).alias("__z"))
+    one = Window.partitionBy(F.lit(0)).orderBy("__part")  # a row for each range
+    ranges = ranges.withColumn("__l", F.lag("__z").over(one))
+    opens = F.col("__l").isNull() | reduce(lambda a, k: a | ~F.col("__a")[k].eqNullSafe(F.col("__l")[k]), keys, F.lit(False))
+    ranges = ranges.withColumn("__off", F.sum(F.col("__n") + opens.cast("long")).over(one.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("__n"))
+    out = rows.withColumn("__run", F.sum("__start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    out = out.join(F.broadcast(ranges.select("__part", "__off")), "__part").withColumn("__run", F.col("__run") + F.col("__off"))
+    return out.drop("__part", "__before", "__start", "__off")
 
 
 def groups(flow: Flow, key: str, length: str = "len") -> Flow:
     """Consecutive equal values as ``(value, length)``, in order."""
-    runs = _islands(flow, key).groupBy(*flow.keys, "__run").agg(F.first(key).alias(key), F.count(F.lit(1)).alias(length))
+    runs = _islands(flow, key).groupBy(*flow.keys, "__run", key).agg(F.count(F.lit(1)).alias(length))  # a run has one key
     return Flow(runs.withColumnRenamed("__run", POS).withColumn(POS, F.col(POS) - 1), flow.bucket)
 
 
@@ -36,7 +56,7 @@ def fold_groups_by(flow: Flow, keys: list[str], presorted: bool = False, **aggre
     aggs = [c.alias(n) for n, c in aggregates.items()]
     if presorted:
         return flow.df.groupBy(*flow.keys, *keys).agg(*aggs)
-    runs = _islands(flow, *keys).groupBy(*flow.keys, "__run").agg(*(F.first(k).alias(k) for k in keys), *aggs)
+    runs = _islands(flow, *keys).groupBy(*flow.keys, "__run", *(k for k in keys if k not in flow.keys)).agg(*aggs)
     return runs.withColumn(POS, F.col("__run") - 1).drop("__run")
 
 
@@ -77,30 +97,45 @@ def folds(segments: Flow, values: Flow, name: str, length: str, **aggregates: tu
     ``aggregates`` maps a name to (aggregate, result of an empty segment).  Values are laid
     out one segment after another; an incomplete last segment yields nothing, and empty
     segments yield the neutral result.  Beginnings of segments and values are sorted together
-    by position, in ranges of positions, and each value takes the last segment begun.
+    by position, in ranges of positions, and each value takes the last segment begun.  The
+    segments with their places are written once; from them also comes which segment goes on
+    into which ranges, so the values are read and sorted once.
     """
-    seg = segments.indexed() if segments.order != (POS,) else segments
     val = values.indexed() if values.order != (POS,) else values
-    keys = seg.keys
-    sized = seg.df.select(*keys, POS, name, F.col(length).cast("long").alias("__len"))
-    s = replace(seg, df=sized).running(__end=F.sum("__len")).withColumnRenamed(POS, "__seg")
+    keys = segments.keys
+    sized = segments.df.select(*dict.fromkeys([*keys, *segments.order]), F.col(name).alias("__name"), F.col(length).cast("long").alias("__len"))
+    spark = sized.sparkSession
+    if segments.order == (POS,):
+        if not keys:
+            sized = scratch.keep(sized, scratch.folder(spark, "segments"))
+        s = replace(segments, df=sized).running(__end=F.sum("__len")).withColumn("__seg", F.col(POS))
+    else:
+        s = replace(segments, df=sized).running(__end=F.sum("__len"), __seg=F.count(F.lit(1))).withColumn("__seg", F.col("__seg") - 1)
+    s = scratch.keep(s.select(*keys, F.col("__seg").cast("long").alias("__seg"), "__name", "__len", "__end"), scratch.folder(spark, "segments"))
     v = val.df.withColumnRenamed(val.bucket, keys[0]) if val.bucket and keys and val.bucket != keys[0] else val.df
-    v = v.select(*keys, F.col(POS).alias("__at"), *(c for c in v.columns if c not in (*keys, POS)))
-    begins = s.filter("__len > 0").select(*keys, (F.col("__end") - F.col("__len")).alias("__at"), F.struct(F.col("__seg").alias("seg"), F.col("__end").alias("end")).alias("__begun"))
-    both = v.withColumn("__begun", F.lit(None).cast("struct<seg:bigint,end:bigint>")).unionByName(begins, allowMissingColumns=True)
-    # a segment begins before the value at its place; the numbers of segments rise, so the last one begun is the largest
-    placed = Flow(both.withColumns({"__value": F.col("__begun").isNull(), POS: F.col("__at")}), seg.bucket, (POS, "__value"))
-    placed = _ranged_running(placed, __of=F.max("__begun")).filter(f"__value and {POS} < __of.end").withColumn("__seg", F.col("__of.seg"))
-    got = placed.groupBy(*keys, "__seg").agg(F.count(F.lit(1)).alias("__got"), *(a.alias(n) for n, (a, _) in aggregates.items()))
-    out = s.join(got, [*keys, "__seg"], "left").filter(F.coalesce("__got", F.lit(0)) == F.col("__len"))
-    return out.select(*keys, F.col("__seg").alias(POS), name, *(F.when(F.col("__len") == 0, z).otherwise(F.col(n)).alias(n) for n, (_, z) in aggregates.items()))
-
-
-def _ranged_running(flow: Flow, **aggregates: Column) -> DataFrame:
-    """Prefix aggregates of a flow whose first key is a dense position, which gives the key ranges."""
-    if flow.bucket:
-        return flow.running(**aggregates)
-    return flow.running(part=F.call_function("div", F.col(POS), F.lit(RANGE_ROWS)), **aggregates)
+    v = v.select(*keys, F.col(POS).cast("long").alias("__at"), *(c for c in v.columns if c not in (*keys, POS)))
+    begun = F.struct(F.col("__seg").alias("seg"), F.col("__end").alias("end"), F.col("__len").alias("len"), F.col("__name").alias("name"))
+    begins = s.filter("__len > 0").select(*keys, (F.col("__end") - F.col("__len")).alias("__at"), begun.alias("__begun"))
+    both = v.withColumn("__begun", F.lit(None).cast(begins.schema["__begun"].dataType)).unionByName(begins, allowMissingColumns=True)
+    # a segment begins before the value at its place
+    both = both.withColumn("__value", F.col("__begun").isNull())
+    within = Window.partitionBy(*(keys or ["__part"])).orderBy("__at", "__value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = F.last("__begun", ignorenulls=True).over(within)
+    if keys:
+        placed = both.withColumn("__of", of)
+    else:
+        div = lambda x: F.call_function("div", x, F.lit(RANGE_ROWS))
+        first, last = div(F.col("__at")), div(F.col("__begun.end") - 1)
+        # the segment that is under way where a range begins: one at most
+        under = begins.filter(first < last).select(F.explode(F.sequence(first + 1, last)).alias("__part"), F.col("__begun").alias("__c"))
+        placed = spread(both.withColumn("__part", div(F.col("__at")))).withColumn("__of", of).join(F.broadcast(under), "__part", "left")
+        placed = placed.withColumn("__of", F.coalesce("__of", "__c"))
+    placed = placed.filter("__value and __at < __of.end").withColumn(POS, F.col("__at"))
+    found = [F.col(f"__of.{x}").alias(f"__{x}") for x in ("seg", "len", "name")]
+    got = placed.groupBy(*keys, *found).agg(F.count(F.lit(1)).alias("__got"), *(a.alias(n) for n, (a, _) in aggregates.items()))
+    full = got.filter("__got = __len").select(*keys, F.col("__seg").alias(POS), F.col("__name").alias(name), *aggregates)
+    empty = s.filter("__len = 0").select(*keys, F.col("__seg").alias(POS), F.col("__name").alias(name), *(z.alias(n) for n, (_, z) in aggregates.items()))
+    return full.union(empty)
 
 
 def replicates(flow: Flow, count: str) -> Flow:

@@ -51,3 +51,33 @@ def test_ranges_with_nulls_and_ties(spark, monkeypatch):
     assert [(r.x, r.len) for r in runs] == [(None, 4), (5, 1), (None, 1), (2, 1), (9, 1), (None, 2), (1, 1), (None, 1)]
     none = Flow(f.df.filter("false"), None, (POS,))
     assert none.scan(s=F.sum("x")).df.count() == segmented.groups(none, "x").df.count() == stateful.decimate(none, lambda a, b: a == b, "x").df.count() == 0
+
+
+
+def test_segments_that_go_on_over_ranges(spark, monkeypatch):
+    """Segments longer than a range, empty ones, an incomplete last one, and runs over the ends of ranges with nulls."""
+    monkeypatch.setattr(flows, "RANGE_ROWS", 3)
+    monkeypatch.setattr(segmented, "RANGE_ROWS", 3)
+    lengths = [2, 0, 11, 1, 0, 5, 9]
+    segs = Flow(spark.createDataFrame([(i, f"s{i}", n) for i, n in enumerate(lengths)], f"{POS} long, name string, n long"), None)
+    vals = Flow.from_list(spark, 1, list(range(22))).project(0)
+    out = segmented.folds(segs, vals, "name", "n", total=(F.sum("x"), F.lit(-1)), low=(F.min("x"), F.lit(None)))
+    expected, at = [], 0
+    for i, n in enumerate(lengths):
+        if at + n <= 22:
+            expected.append((i, f"s{i}", sum(range(at, at + n)) if n else -1, at if n else None))
+        at += n
+    assert [(r[POS], r["name"], r.total, r.low) for r in out.orderBy(POS).collect()] == expected
+    runs = [None] * 4 + ["a"] * 7 + ["b"] + [None] * 2 + ["b"] * 3
+    got = segmented.groups(Flow.from_list(spark, 1, runs, "x", "string").project(0), "x").df.orderBy(POS).collect()
+    assert [(r[POS], r.x, r.len) for r in got] == [(0, None, 4), (1, "a", 7), (2, "b", 1), (3, None, 2), (4, "b", 3)]
+
+
+def test_range_by_leading_columns(spark, monkeypatch):
+    """Bounds compare one column where it tells enough rows apart; rows are read and sorted once for values of segments."""
+    monkeypatch.setattr(flows, "RANGE_ROWS", 50)
+    many = Flow(spark.range(400).select(F.col("id").alias("a"), (F.col("id") % 3).alias("b"), F.lit(1).alias("x")), None, ("a", "b"))
+    assert "struct" not in str(many._range())
+    few = Flow(spark.range(400).select((F.col("id") % 2).alias("a"), F.col("id").alias("b"), F.lit(1).alias("x")), None, ("a", "b"))
+    assert "struct" in str(few._range())
+    assert [r[0] for r in few.indexed().df.orderBy(POS).select(POS).collect()] == list(range(400))
