@@ -6,36 +6,86 @@ from collections.abc import Callable, Iterator
 from dataclasses import replace
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..flow import POS, Flow
+from .. import scratch
+from ..flow import POS, Flow, spread
 
 
-def _by_stream(flow: Flow, columns: list[str], make: Callable[[], tuple[Callable, Callable]], schema: str, names: list[str]) -> DataFrame:
-    """Run a step function over each stream in order, in batches; ``make`` gives (step, finish) with fresh state."""
+#: Rows (about) that a task sorts of a single stream under an opaque step; further ones are the next task's.
+STEP_ROWS = 1_000_000
+
+
+def _by_stream(flow: Flow, columns: list[str], start, step: Callable, finish: Callable, schema: str, names: list[str]) -> DataFrame:
+    """Run ``step(state, *values) -> (state, rows)`` over each stream in order, in batches; ``finish(state)`` gives the last rows.
+
+    Streams of a bundle run in parallel. A long single stream runs one key range after
+    another, and the state, pickled, goes from each to the next.
+    """
     b = flow.bucket
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, step, finish = object(), None, None
+        key, state = object(), None
+        begun = False
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False, name=None):
                 s, rest = (row[0], row[1:]) if b else (None, row)
-                if step is None or s != key:
-                    if finish is not None:
-                        out += [(key, *x) if b else tuple(x) for x in finish()]
-                    key, (step, finish) = s, make()
-                out += [(s, *x) if b else tuple(x) for x in step(*rest)]
+                if not begun or s != key:
+                    if begun:
+                        out += [(key, *x) if b else tuple(x) for x in finish(state)]
+                    key, state, begun = s, start, True
+                state, rows = step(state, *rest)
+                out += [(s, *x) if b else tuple(x) for x in rows]
             if out:
                 yield pd.DataFrame(out, columns=names)
-        if finish is not None and (last := [(key, *x) if b else tuple(x) for x in finish()]):
+        if begun and (last := [(key, *x) if b else tuple(x) for x in finish(state)]):
             yield pd.DataFrame(last, columns=names)
 
+    if b is None and (rows := flow.df.count()) > STEP_ROWS:
+        return _in_turn(flow, columns, start, step, finish, schema, names, rows)
     cut = flow.df.repartition(b) if b else flow.df.repartition(1)
     return cut.sortWithinPartitions(*flow.keys, *flow.order).select(*flow.keys, *columns).mapInPandas(run, schema)
 
 
+def _in_turn(flow: Flow, columns: list[str], start, step: Callable, finish: Callable, schema: str, names: list[str], rows: int) -> DataFrame:
+    """A single stream by key ranges, one after another; each leaves its rows and, in a row of its own, the state after them."""
+    spark = flow.df.sparkSession
+    part = F.call_function("div", F.col(POS), F.lit(STEP_ROWS)) if flow.order == (POS,) else flow._range(STEP_ROWS, rows)
+    cut = flow.df.select(*dict.fromkeys([*flow.order, *columns])).withColumn("__part", part.cast("long"))
+    at, to = scratch.folder(spark, "ranges"), scratch.folder(spark, "steps")
+    spread(cut).write.partitionBy("__part").parquet(at)
+    parts = sorted(r[0] for r in spark.read.schema(cut.schema).parquet(at).select("__part").distinct().collect())
+    kind = cut.drop("__part").schema
+    state = cloudpickle.dumps(start)
+    for k, p in enumerate(parts):
+        final = k == len(parts) - 1
+
+        def run(batches: Iterator[pd.DataFrame], before=state, final=final) -> Iterator[pd.DataFrame]:
+            now = cloudpickle.loads(before)
+            for pdf in batches:
+                out = []
+                for row in pdf.itertuples(index=False, name=None):
+                    now, new = step(now, *row)
+                    out += map(tuple, new)
+                if out:
+                    yield pd.DataFrame(out, columns=names).assign(__state=None)
+            if final:
+                if out := [tuple(x) for x in finish(now)]:
+                    yield pd.DataFrame(out, columns=names).assign(__state=None)
+            else:
+                yield pd.DataFrame({n: [None] for n in names} | {"__state": [cloudpickle.dumps(now)]})
+
+        one = spark.read.schema(kind).parquet(f"{at}/__part={p}").repartition(1).sortWithinPartitions(*flow.order).select(*columns)
+        one.mapInPandas(run, f"{schema}, __state binary").write.parquet(f"{to}/{k:06d}")
+        if not final:
+            state = bytes(spark.read.parquet(f"{to}/{k:06d}").filter("__state is not null").first()["__state"])
+    done = spark.read.schema(f"{schema}, __state binary").parquet(*(f"{to}/{k:06d}" for k in range(len(parts))))
+    return done.filter("__state is null").drop("__state")
+
+
 def _schema(flow: Flow, outputs: dict[str, str]) -> tuple[str, list[str]]:
     b = flow.bucket
     head = [f"{b} {flow.df.schema[b].dataType.simpleString()}"] if b else []
@@ -46,23 +96,19 @@ def process(flow: Flow, columns: list[str], start, step: Callable, outputs: dict
     """Stateful flat map: ``step(state, *values) -> (state, rows)``, state carried along each stream."""
     schema, names = _schema(flow, outputs)
 
-    def make():
-        state, at = [start], [0]
-
-        def number(rows):
-            out = []
-            for r in rows:
-                out.append((at[0], *(r if isinstance(r, tuple) else (r,))))
-                at[0] += 1
-            return out
+    def number(at, rows):
+        return [(at + i, *(r if isinstance(r, tuple) else (r,))) for i, r in enumerate(rows)]
 
-        def go(*values):
-            state[0], rows = step(state[0], *values)
-            return number(rows)
+    def go(held, *values):
+        state, at = held
+        state, rows = step(state, *values)
+        out = number(at, rows)
+        return (state, at + len(out)), out
 
-        return go, lambda: number(finish(state[0])) if finish else []
+    def last(held):
+        return number(held[1], finish(held[0])) if finish else []
 
-    return Flow(_by_stream(flow, columns, make, schema, names), flow.bucket)
+    return Flow(_by_stream(flow, columns, (start, 0), go, last, schema, names), flow.bucket)
 
 
 def compact(flow: Flow, columns: list[str], start, step: Callable, outputs: dict[str, str]) -> Flow:
@@ -77,15 +123,14 @@ def compact(flow: Flow, columns: list[str], start, step: Callable, outputs: dict
 
 def compact_in(flow: Flow, column: str, step: Callable, kind: str) -> Flow:
     """As ``compact``, the state being the first element; the final state is the last element out."""
-    none = object()
 
     def one(state, value):
-        if state is none:
-            return value, []
-        state, x = step(state, value)
-        return state, [] if x is None else [x]
+        if state is None:
+            return (value,), []
+        state, x = step(state[0], value)
+        return (state,), [] if x is None else [x]
 
-    return process(flow, [column], none, one, {column: kind}, lambda s: [] if s is none else [s])
+    return process(flow, [column], None, one, {column: kind}, lambda s: [] if s is None else [s[0]])
 
 
 def unfolds(flow: Flow, columns: list[str], start, step: Callable, outputs: dict[str, str]) -> Flow:

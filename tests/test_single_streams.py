@@ -53,6 +53,34 @@ def test_ranges_with_nulls_and_ties(spark, monkeypatch):
     assert none.scan(s=F.sum("x")).df.count() == segmented.groups(none, "x").df.count() == stateful.decimate(none, lambda a, b: a == b, "x").df.count() == 0
 
 
+@pytest.mark.parametrize("name", ["unfolds_elements"])
+def test_opaque_steps_go_on_over_ranges(spark, data, monkeypatch, name):
+    """A stream under an opaque step runs range after range, with the state carried, and none sorts all of it."""
+    monkeypatch.setattr(stateful, "STEP_ROWS", 400)
+    out = catalogue.QUERIES[name](spark, data)
+    assert "steps-" in "".join(out.inputFiles())
+    same(out, catalogue.ORACLE[name], data)
+
+
+def test_states_of_opaque_steps(spark, monkeypatch):
+    """State, positions, the last rows and an end of the stream, each over several ranges and with a key of two columns."""
+    monkeypatch.setattr(stateful, "STEP_ROWS", 20)
+    rows = [(i // 7, i, (i * 37) % 101) for i in range(150)]
+    f = Flow(spark.createDataFrame(rows, "a long, b long, x long").repartition(6), None, ("a", "b"))
+
+    def values(flow):
+        return [(r[POS], r.x) for r in flow.df.orderBy(POS).collect()]
+
+    top, tops = None, []
+    for _, _, x in rows:
+        tops += [] if top is None else [max(top, x)]
+        top = x if top is None else max(top, x)
+    assert values(stateful.compact_in(f, "x", lambda s, v: (max(s, v), max(s, v)), "long")) == list(enumerate([*tops, top]))
+    total = stateful.process(f, ["x"], 0, lambda s, v: (s + v, []), {"x": "long"}, lambda s: [s])
+    assert values(total) == [(0, sum(r[2] for r in rows))]
+    ended = stateful.unfolds(f, ["b"], 0, lambda v, s: ("finish", s) if v[0] == 90 else ("give", v[0], 1) if s == 0 else ("next", 0), {"x": "long"})
+    assert values(ended) == [(i, i) for i in range(90)]
+
 
 def test_segments_that_go_on_over_ranges(spark, monkeypatch):
     """Segments longer than a range, empty ones, an incomplete last one, and runs over the ends of ranges with nulls."""
